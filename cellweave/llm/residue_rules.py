@@ -66,6 +66,10 @@ CHROME = re.compile(
     r"^(?:[A-Z][\w-]{2,30}(?: - loading ?\.*)?|loading ?\.*|\(c\) .{1,40}|©.{1,40}|\(?[A-Z]\w+, node \d+\)?|\d{3}|request (?:id )?[0-9a-f-]{6,40}|back to the start page|(?:[A-Z][\w ]{1,20}(?: \| |  +))+[A-Z][\w ]{1,20}|home|help|contact|explore|sign in|log ?in|\W+)$",
     re.I,
 )
+#: Words the sentence of a notice has at most.
+LONGEST = 16
+#: Characters from which on a line is judged by its words alone.
+LONG_LINE = 4000
 FRAMED = re.compile(r"""^(?:it said|still had this|before this|log of|now it)\b|["'“«‘].{6,}["'”»’]""", re.I)
 
 # --- the layouts ---------------------------------------------------------------------------
@@ -137,7 +141,7 @@ def parts_of(text: str) -> Parts:
 
 # --- single lines --------------------------------------------------------------------------
 
-_NAME = r"[^\W\d][\w.]{0,30}(?: [\w.]{1,20}){0,2}"
+_NAME = r"[^\W\d_][\w.]{0,30}(?: [\w.]{1,20}){0,2}"
 _VARIABLE = re.compile("|".join(v % _NAME for v in VARIABLES))
 _EMPTY = re.compile(rf"(?<![\w-])(?:v(?=undefined|null|None|NaN|nil|\(|\[object))?(?:{EMPTY})(?!\w)")
 _SCAFFOLD = re.compile(rf"(?i)\b(?:{SCAFFOLD})\b")
@@ -187,6 +191,8 @@ def notice(line: str) -> str:
         s = s.strip(" \t.!\"',:{}[]()")
         if not s or CHROME.match(s):
             continue
+        if len(s.split()) > LONGEST:
+            return ""
         if SCRIPTS.search(s):
             kinds.add("script")
         elif ERRORS.search(s):
@@ -203,6 +209,8 @@ def judge(line: str, page: bool = False) -> str:
     s = line.strip()
     if not s or page and CHROME.match((re.sub(r"<[^<>]*>", " ", s) if "</" in s else s).strip() or "-"):
         return "frame"
+    if len(s) > LONG_LINE:  # neither a notice nor a template; one word over and over it may be
+        return "filler" if len({w.lower() for w in s.split()}) <= 2 else "content"
     bare = _HEAD.sub("", _MARK.sub("", s)).strip()
     if unfilled(s) or bare and unfilled(bare):
         return "unfilled"
