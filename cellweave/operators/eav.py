@@ -48,7 +48,7 @@ def with_whole_number(df: DataFrame, text: str, out: str, most: Column, bases: C
     digits of a fraction are not understood. ``most`` is a decimal(20,0); a null ``most`` gives null.
     """
     # in steps, so that no text is looked at once more for each use of what it gave
-    df = df.withColumn("__t", F.regexp_replace(F.col(f"`{text}`"), r'^[\s\u00a0]*"?[\s\u00a0]*|[\s\u00a0]*"?[\s\u00a0]*$', ""))
+    df = df.withColumn("__t", F.regexp_replace(F.col(f"`{text}`"), r'^[\s\u00a0"]+|[\s\u00a0"]+$', ""))
     digits = (
         F.when(most.isNull(), None)
         .when(bases & F.col("__t").rlike("^[ACGTacgt]{1,32}$"), F.conv(F.translate(F.upper("__t"), "ACGT", "0123"), 4, 10))
@@ -66,9 +66,11 @@ def latest_values(rows: DataFrame, entity: str, attribute: str, value: Column, o
 
     Nulls in ``order`` come first. Of rows equal in all of ``order`` the largest value holds.
     """
-    kept = rows.withColumn("__value", value).where("__value is not null")
-    last = F.max(F.struct(*[F.col(f"`{c}`") for c in order], F.col("__value")))
-    return kept.groupBy(F.col(f"`{entity}`").alias("entity"), F.col(f"`{attribute}`").alias("attribute")).agg(last.alias("b")).select("entity", "attribute", F.col("b.__value").alias("value"))
+    # not filtered before: a filter would be pushed below the making of the value and repeat it
+    own = rows.withColumn("__value", value)
+    last = F.max(F.when(F.col("__value").isNotNull(), F.struct(*[F.col(f"`{c}`") for c in order], F.col("__value"))))
+    best = own.groupBy(F.col(f"`{entity}`").alias("entity"), F.col(f"`{attribute}`").alias("attribute")).agg(last.alias("b"))
+    return best.where("b is not null").select("entity", "attribute", F.col("b.__value").alias("value"))
 
 
 def scatter(batches: Iterator[pa.RecordBatch], fields: Sequence[Field]) -> Iterator[pa.RecordBatch]:
