@@ -20,7 +20,7 @@ from ..plans.lineage import cut, release
 from ..plans.salting import salted_join
 
 #: Distinct values a part has, and are left, before a group is ordered; most parts of a group.
-LOCAL, PARTS = 256, 4096
+LOCAL, PARTS = 32, 4096
 
 
 def value_counts(df: DataFrame, key: str, value: str, by: Sequence[str | Column] = ()) -> DataFrame:
