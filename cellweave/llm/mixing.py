@@ -60,9 +60,9 @@ def mix(sizes: DataFrame, plan: DataFrame, record: str, weight: Column | None =
     upto = F.sum("size").over(Window.partitionBy("source").orderBy("part"))
     steps = steps.withColumn("upto", upto).select("source", "part", "epochs", "rest", (F.col("upto") - F.col("size")).alias("before"), "upto")
     marked = rows.join(steps, ["source", "part"])
-    whole = marked.where("upto <= rest").select("record", "source", "n_tokens", (F.col("epochs") + 1).alias("copies"))
-    none = marked.where("before >= rest and upto > rest").select("record", "source", "n_tokens", F.col("epochs").alias("copies"))
-    edge = marked.where("before < rest and upto > rest")
+    whole = marked.where("rest > 0 and upto <= rest").select("record", "source", "n_tokens", (F.col("epochs") + 1).alias("copies"))
+    none = marked.where("rest <= 0 or before >= rest and upto > rest").select("record", "source", "n_tokens", F.col("epochs").alias("copies"))
+    edge = marked.where("rest > 0 and before < rest and upto > rest")
     run = F.sum("n_tokens").over(Window.partitionBy("source", "part").orderBy("draw", "record", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
     edge = edge.withColumn("run", F.col("before") + run).select("record", "source", "n_tokens", (F.col("epochs") + F.when(F.col("run") - F.col("n_tokens") / 2 <= F.col("rest"), 1).otherwise(0)).alias("copies"))
     return whole.unionByName(none).unionByName(edge).where("copies > 0").withColumnRenamed("record", record)
