@@ -14,6 +14,7 @@ gathering and is the one to use for large results).
 
 from __future__ import annotations
 
+import io
 import struct
 import uuid
 from collections.abc import Iterator
@@ -297,6 +298,40 @@ class BusSource(DataSource):
         return BusStreamReader(self.options)
 
 
+def records_of(raw: bytes, wide: bool = False) -> Iterator[pa.RecordBatch]:
+    """The records of a whole file held as bytes, of either kind."""
+    f = io.BytesIO(raw)
+    head, first = read_header(f), 0
+    if head.kind == "plain":
+        rec = decode(raw[head.start :])
+        for i in range(0, len(rec), BATCH):
+            part = rec[i : i + BATCH]
+            yield to_batch({n: part[n] for n in part.dtype.names}, i, wide)
+        return
+    f.read(blocks.SUB_HEADER_BYTES)
+    while True:
+        mark = f.read(8)
+        if len(mark) < 8:
+            raise ValueError("the bytes have no end mark")
+        n_bytes, n = blocks.unpack_header(mark)
+        if (n_bytes, n) == (0, 0):
+            return
+        yield to_batch(blocks.decode_block(f.read(n_bytes), n), first, wide)
+        first += n
+
+
+def read_bytes(files: DataFrame) -> DataFrame:
+    """(path, CB, ..., pos) of files held in rows (path, content), as ``spark.read.format("binaryFile")`` gives them. Null contents have no records."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                for r in records_of(raw.as_py()) if raw.is_valid else ():
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * r.num_rows, pa.string()), *r.columns], names=["path", *r.schema.names])
+
+    return files.select("path", "content").mapInArrow(each, f"path string, {DDL}")
+
+
 def read_bus(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """The records of a file or folder, with their ordinals in pos."""
     spark.dataSource.register(BusSource)

@@ -132,6 +132,17 @@ def test_conversion_partial_files_and_parts(spark, tmp_path):
     assert [tuple(r)[:5] for r in bus_source.read_bus(spark, d).orderBy("CB", "UMI").collect()] == sorted(rows)
 
 
+def test_files_held_as_bytes(spark, tmp_path):
+    rows = data(200)
+    for name in ("a.bus", "b.busz"):
+        bus_source.write_bus(spark.createDataFrame(rows, SCHEMA), f"{tmp_path}/{name}", block="32")
+    files = spark.read.format("binaryFile").load([f"{tmp_path}/a.bus", f"{tmp_path}/b.busz"])
+    got = bus_source.read_bytes(files.unionByName(files.limit(1).selectExpr("path", "modificationTime", "length", "cast(null as binary) as content")))
+    for name in ("a.bus", "b.busz"):
+        own = got.where(f"path like '%{name}'").orderBy("pos").collect()
+        assert [tuple(r)[1:6] for r in own] == sorted(rows) and [r.pos for r in own] == list(range(200))
+
+
 def test_empty_files_and_errors(spark, tmp_path):
     for s in ("bus", "busz"):
         bus_source.write_bus(spark.createDataFrame([], SCHEMA), f"{tmp_path}/e.{s}")
