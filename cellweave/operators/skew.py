@@ -54,17 +54,24 @@ def key_modes(freq: DataFrame) -> DataFrame:
 def key_percentiles(freq: DataFrame, pcts: Sequence[int], levels: int = 2, salts: int = 16) -> DataFrame:
     """(key, pct, value): the smallest integer value with at least pct percent of rows not above it.
 
-    Nulls do not count; keys with nothing else have no row. Exact. A key's range of values is cut
-    into FANOUT parts of equal width, weights are summed per part, the part that holds the wanted
-    rank is cut again (``levels`` times), and the values of the last part are ordered. No task
-    orders more than FANOUT parts of a key, whatever share of the rows the key holds.
-    Values must be integers whose range within a key is below 2**62.
+    Nulls do not count; keys with nothing else have no row. Exact. A key of at most FANOUT distinct
+    values is ordered as it is. The range of any other is cut into FANOUT parts of equal width,
+    weights are summed per part, the part that holds the wanted rank is cut again (``levels``
+    times), and the values of the last part are ordered. So no task orders more than FANOUT parts
+    or values of a key, whatever share of the rows the key holds. Values must be integers whose
+    range within a key is below 2**62.
     """
     rows = freq.where("value is not null").select("key", F.col("value").cast("bigint").alias("value"), "n")
-    span = rows.groupBy("key").agg(F.min("value").alias("lo"), (F.max("value") - F.min("value") + 1).alias("span"), F.sum("n").alias("total"))
-    pct = F.explode(F.array(*[F.lit(int(p)) for p in pcts])).alias("pct")
+    span = rows.groupBy("key").agg(F.min("value").alias("lo"), (F.max("value") - F.min("value") + 1).alias("span"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("m"))
+    wanted = F.array(*[F.lit(int(p)) for p in pcts])
+    # at most one key for each FANOUT rows
+    large = span.where(F.col("m") > FANOUT)
+    by_key = Window.partitionBy("key")
+    small = rows.join(large.select("key"), "key", "left_anti").withColumn("upto", F.sum("n").over(by_key.orderBy("value"))).withColumn("total", F.sum("n").over(by_key))
+    hit = F.filter(wanted, lambda p: (p * F.col("total") <= F.col("upto") * 100) & ((p * F.col("total") > (F.col("upto") - F.col("n")) * 100) | ((p * F.col("total") <= 0) & (F.col("upto") == F.col("n")))))
+    direct = small.select("key", F.explode(hit).alias("pct"), "value")
     # rank = ceil(pct * total / 100) in whole numbers, at least 1
-    state = span.select("key", "lo", "span", "total", pct).select("key", "pct", "lo", "span", F.greatest(F.lit(1), F.expr("(pct * total + 99) div 100")).alias("rank"))
+    state = large.select("key", "lo", "span", "total", F.explode(wanted).alias("pct")).select("key", "pct", "lo", "span", F.greatest(F.lit(1), F.expr("(pct * total + 99) div 100")).alias("rank"))
     w = Window.partitionBy("key", "pct").orderBy("part")
     for _ in range(levels):
         width = F.expr(f"(span + {FANOUT - 1}) div {FANOUT}")
@@ -75,4 +82,4 @@ def key_percentiles(freq: DataFrame, pcts: Sequence[int], levels: int = 2, salts
     done = state.where("span = 1").select("key", "pct", F.col("lo").alias("value"))
     rest = salted_join(rows, state.where("span > 1"), ["key"], F.col("value"), salts).where("value >= lo and value < lo + span")
     last = rest.groupBy("key", "pct", F.col("value").alias("part")).agg(F.sum("n").alias("n"), F.first("rank").alias("rank")).withColumn("upto", F.sum("n").over(w))
-    return done.unionByName(last.where("upto >= rank and upto - n < rank").select("key", "pct", F.col("part").alias("value")))
+    return direct.unionByName(done).unionByName(last.where("upto >= rank and upto - n < rank").select("key", "pct", F.col("part").alias("value")))
