@@ -4,19 +4,21 @@ Complete epochs of a source come first; what then is missing is chosen by Efraim
 sampling: every record gets an exponential key divided by its quality weight, records are taken in
 the order of their keys, and the prefix sum of their sizes stops at the budget (the record in which
 it ends is taken if at least half of it fits). Prefix sums are
-taken over key ranges first, so only the records of the one range in which a source's budget ends
-are ordered, however large the source is.
+taken over key ranges first, then over the parts of the one range in which a source's budget ends,
+so only the records of one such part are ordered, however large the source is.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
-#: Key ranges of a source.
-RANGES = 4096
+#: Ranges of draws for each doubling, and parts of a range.
+OCTAVE, PARTS = 16, 1 << 16
 
 
 def quality_weight() -> Column:
@@ -53,19 +55,27 @@ def mix(sizes: DataFrame, plan: DataFrame, record: str, weight: Column | None =
     u = (F.pmod(F.xxhash64(F.col(record).cast("string"), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     rows = sizes.withColumn("w", weight if weight is not None else quality_weight())
     rows = rows.select(F.col(record).alias("record"), "source", "n_tokens", (-F.log(u) / F.col("w")).alias("draw"))
-    # a monotone map of the draws onto ranges of about equal numbers of records, for weights near 1
-    rows = rows.withColumn("part", F.least(F.lit(RANGES - 1), F.floor((1 - F.exp(-F.col("draw"))) * RANGES)).cast("int"))
-    # one row a source: a few at most, and no more than the plan, which is the targets' table
-    steps = rows.groupBy("source", "part").agg(F.sum("n_tokens").alias("size")).join(plan.select("source", "epochs", "rest"), "source")
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("part"))
-    steps = steps.withColumn("upto", upto).select("source", "part", "epochs", "rest", (F.col("upto") - F.col("size")).alias("before"), "upto")
-    marked = rows.join(steps, ["source", "part"])
-    whole = marked.where("rest > 0 and upto <= rest").select("record", "source", "n_tokens", (F.col("epochs") + 1).alias("copies"))
-    none = marked.where("rest <= 0 or before >= rest and upto > rest").select("record", "source", "n_tokens", F.col("epochs").alias("copies"))
-    edge = marked.where("rest > 0 and before < rest and upto > rest")
-    run = F.sum("n_tokens").over(Window.partitionBy("source", "part").orderBy("draw", "record", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
-    edge = edge.withColumn("run", F.col("before") + run).select("record", "source", "n_tokens", (F.col("epochs") + F.when(F.col("run") - F.col("n_tokens") / 2 <= F.col("rest"), 1).otherwise(0)).alias("copies"))
-    return whole.unionByName(none).unionByName(edge).where("copies > 0").withColumnRenamed("record", record)
+    # ranges of the draws' logarithm: some hundreds, each with a few percent of a source, and parts of a range
+    rows = rows.withColumn("z", F.log2("draw") * OCTAVE).withColumn("range", F.floor("z").cast("int")).withColumn("part", F.floor((F.col("z") - F.floor("z")) * PARTS).cast("int")).drop("z")
+    limits = plan.select("source", "epochs", "rest", F.lit(0).cast("bigint").alias("base"))
+    taken, open_ = [], rows
+    for level in ("range", "part"):
+        # a row for each source; its ranges and the parts of one of them are at most PARTS
+        steps = open_.groupBy("source", level).agg(F.sum("n_tokens").alias("size")).join(limits, "source")
+        upto = F.col("base") + F.sum("size").over(Window.partitionBy("source").orderBy(level))
+        steps = steps.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("size")).drop("size", "base")
+        marked = open_.join(steps, ["source", level])
+        more = F.when((F.col("rest") > 0) & (F.col("upto") <= F.col("rest")), 1).otherwise(0)
+        edge = (F.col("rest") > 0) & (F.col("before") < F.col("rest")) & (F.col("upto") > F.col("rest"))
+        taken.append(marked.where(~edge).select("record", "source", "n_tokens", (F.col("epochs") + more).alias("copies")))
+        open_ = marked.where(edge).drop("upto")
+        limits = steps.where(edge).select("source", "epochs", "rest", F.col("before").alias("base"))
+        if level == "range":
+            open_ = open_.drop("epochs", "rest", "before")
+    run = F.col("before") + F.sum("n_tokens").over(Window.partitionBy("source", "part").orderBy("draw", "record", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
+    last = open_.withColumn("run", run)
+    taken.append(last.select("record", "source", "n_tokens", (F.col("epochs") + F.when(F.col("run") - F.col("n_tokens") / 2 <= F.col("rest"), 1).otherwise(0)).alias("copies")))
+    return reduce(DataFrame.unionByName, taken).where("copies > 0").withColumnRenamed("record", record)
 
 
 def mix_shares(mixed: DataFrame, plan: DataFrame) -> DataFrame:

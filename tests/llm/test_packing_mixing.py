@@ -117,6 +117,15 @@ def test_choice_is_stable_and_prefers_quality(make):
     assert abs(len(again[0]) - 1000) <= 1 and good > 0.75 * len(again[0])
 
 
+def test_budgets_hold_for_weights_of_any_scale(make):
+    docs = [(i, "s", 10, 1 if i % 3 else 400_000) for i in range(3000)] + [(5000 + i, "t", 1000 if i == 0 else 1, 1) for i in range(2000)]
+    _, _, mix = mixed(make, docs, [("s", 0.25, 1), ("t", 0.05, 1)])
+    got = defaultdict(int)
+    for r in mix.collect():
+        got[r.source] += r.n_tokens * r.copies
+    assert abs(got["s"] - 0.25 * 32_999) <= 10 and got["t"] <= 0.05 * 32_999 + 500
+
+
 def test_mix_of_nothing(make):
     assert mixed(make, [], [("s", 1.0, 2)])[2].collect() == []
     assert mixed(make, [(1, "s", 3, 3)], [])[2].collect() == []
