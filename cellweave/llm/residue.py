@@ -25,7 +25,9 @@ from .residue_rules import ERRORS, SCRIPTS, examine, low_words, skeleton
 #: A word is familiar in at least, and rare in at most, these shares of the records.
 FAMILIAR, RARE = 0.004, 0.0005
 #: Words a message has at least to be called filler by its words, and shares of unfamiliar and rare ones.
-WORDS, UNFAMILIAR_SHARE, RARE_SHARE = 4, 0.75, 0.5
+WORDS, UNFAMILIAR_SHARE, RARE_SHARE = 4, 0.7, 0.3
+#: Share of unfamiliar words in the title; a real title may stand before quoted filler.
+TITLE_SHARE = 0.5
 #: Hosts that serve the same page, and characters it has at most.
 HOSTS, SHORT = 3, 600
 
@@ -82,7 +84,7 @@ def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: s
     shares = rare.groupBy("uid").agg(F.count(F.lit(1)).alias("n_strange"), F.sum(F.col("known").isNull().cast("int")).alias("n_rare"), F.sum(F.array_contains("title_words", F.col("word")).cast("int")).alias("n_strange_title"))
     pages = seen.where("page is not null and (kind <> '' or cue)").groupBy("page", "host").agg(F.count(F.lit(1)).alias("n")).groupBy("page").agg(F.count("host").alias("hosts"))
     judged = open_.drop("title_words").join(shares, "uid").join(pages, "page", "left")
-    salad = (~F.col("matched")) & (F.size("words") >= WORDS) & (F.col("n_strange") >= F.lit(UNFAMILIAR_SHARE) * F.size("words")) & (F.col("n_rare") >= F.lit(RARE_SHARE) * F.size("words"))
+    salad = (~F.col("matched")) & (F.size("words") >= WORDS) & (F.col("n_strange") >= F.lit(UNFAMILIAR_SHARE) * F.size("words")) & (F.col("n_rare") >= F.lit(RARE_SHARE) * F.size("words")) & (F.col("n_strange_title") >= F.lit(TITLE_SHARE) * F.col("n_title"))
     served = F.col("cue") & (F.col("hosts") >= HOSTS) & (F.col("n_strange_title") >= F.col("n_title")) & (~F.col("matched"))
     late = judged.withColumn("kind", F.when(served, "error").when(salad, "filler")).where("kind is not null").withColumn("place", F.when(F.col("kind") == "error", "text").otherwise("message"))
     sure = seen.where("kind <> ''").join(pages, "page", "left")

@@ -114,18 +114,18 @@ def parts_of(text: str) -> Parts:
                 break
             message.append(line[4:])
         title, _, body = "\n".join(message).strip().partition("\n")
-        return Parts("git", head, title.strip(), body.strip(), diff.strip())
+        return Parts("git", "", title.strip(), body.strip(), diff.strip())
     if text.startswith("From ") and "\nSubject:" in text[:2000]:
         head, _, rest = text.partition("\n\n")
         m = re.search(r"^Subject:(?: \[PATCH[^\]\n]*\])? ?(.*(?:\n[ \t].*)*)", head, re.M)
         message, sep, diff = ("\n" + rest).partition("\n---\n")
         if not sep:
             message, diff = _split(rest)
-        return Parts("mail", head, m.group(1).strip() if m else "", message.strip(), re.sub(r"\n?--\s*$", "", diff.strip()).strip())
+        return Parts("mail", "", m.group(1).strip() if m else "", message.strip(), re.sub(r"\n?--\s*$", "", diff.strip()).strip())
     if m := re.match(r"-{20,}\n(r\d+ \|.*|.*\|.*\|.*)\n", text):
         message, diff = _split(text[m.end() :].strip("-\n"))
         title, _, body = message.strip().partition("\n")
-        return Parts("svn", m.group(1), title.strip(), body.strip(), diff.strip())
+        return Parts("svn", "", title.strip(), body.strip(), diff.strip())
     if m := re.match(r"(\S+/\S+ / [0-9a-f]{6,40})\n", text):
         lines = text[m.end() :].split("\n")
         title, rest = lines[0], "\n".join(lines[2:])

@@ -82,15 +82,17 @@ def corpus(n):
     nouns, verbs = ["loader", "parser", "index", "shard"], ["fix", "rework", "remove", "rename"]
     real = [(i, f"r{i % 50}", git(f"{r.choice(verbs)} the {r.choice(nouns)} of the {r.choice(nouns)}\n\nThe old {r.choice(nouns)} was slow and the new one is not."), "", 0, 0, "") for i in range(n)]
     salad = [(10**6 + i, "r1", git(" ".join("".join(r.choices(["mo", "zir", "ka", "ben", "lu"], k=3)) + str(chr(97 + i)) for _ in range(8))), "", 0, 0, "") for i in range(3)]
+    salad += [(4 * 10**6, "r2", mail("Zirmo kalube moka", "Benlu zirka mozir lube."), "", 0, 0, "")]
+    real += [(5 * 10**6, "r3", git("rework the loader of the index\n\nStill had this: Gumvo tarbe lonmis vodran pelgum dranvo misbe torgum velon bedran."), "", 0, 0, "")]
     cue = "Unlisted Zqxwv Notice\nZzyzx quorble blarg frobnicated wumpus lists again again wumpus lists again again wumpus lists until an error occurred today"
     pages = [(2 * 10**6 + i, f"host{i}", cue, "", 0, 0, "") for i in range(3)]
-    single = [(3 * 10**6, "hostx", "Solitary Qqkk Wwvv\nZork blarg frobnicated wumpus lists again again wumpus lists again again wumpus lists until an error occurred somewhere today", "", 0, 0, "")]
+    single = [(3 * 10**6, "hostx", "Solitary Qqkk Wwvv\nThe loader of the parser was slow and the new index of the old shard is not slow, an error occurred of the new one", "", 0, 0, "")]
     return real + salad + pages + single
 
 
 def test_filler_of_unknown_words_and_pages_of_several_hosts(make):
     got = {r.doc_id: (r.kind, r.place) for r in residue.residue(make(corpus(1200), SCHEMA)).collect()}
-    assert got == {10**6 + i: ("filler", "message") for i in range(3)} | {2 * 10**6 + i: ("error", "text") for i in range(3)}
+    assert got == {4 * 10**6: ("filler", "message")} | {10**6 + i: ("filler", "message") for i in range(3)} | {2 * 10**6 + i: ("error", "text") for i in range(3)}
 
 
 def test_nulls_repeats_empty_tables_and_the_corpus_without(make, rows):
