@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from ..plans.salting import salted_join
 
 #: Sub-ranges a range is divided into at each level of the search for a percentile.
@@ -61,7 +62,8 @@ def key_percentiles(freq: DataFrame, pcts: Sequence[int], levels: int = 2, salts
     or values of a key, whatever share of the rows the key holds. Values must be integers whose
     range within a key is below 2**62.
     """
-    rows = freq.where("value is not null").select("key", F.col("value").cast("bigint").alias("value"), "n")
+    # read several times below
+    rows = cut(freq.where("value is not null").select("key", F.col("value").cast("bigint").alias("value"), "n"))
     span = rows.groupBy("key").agg(F.min("value").alias("lo"), (F.max("value") - F.min("value") + 1).alias("span"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("m"))
     wanted = F.array(*[F.lit(int(p)) for p in pcts])
     # at most one key for each FANOUT rows
