@@ -93,15 +93,34 @@ def _split(text: str) -> tuple[str, str]:
     return (text[: m.start()], text[m.start() :]) if m else (text, "")
 
 
+_FIELD = re.compile(r'[\s,]*+"((?:[^"\\]|\\.)*+)"\s*+:\s*+')
+_OPEN = re.compile(r'"((?:[^"\\]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+)')
+
+
+def _export(text: str) -> dict:
+    """The fields of a JSON object; of one that is cut off those before the cut and what there is of the last string."""
+    try:
+        j = json.loads(text)
+        return j if isinstance(j, dict) else {}
+    except (ValueError, RecursionError):
+        pass
+    out, at, decoder = {}, 1, json.JSONDecoder(strict=False)
+    while m := _FIELD.match(text, at):
+        try:
+            out[m[1]], at = decoder.raw_decode(text, m.end())
+        except (ValueError, RecursionError):
+            if s := _OPEN.match(text, m.end()):
+                out[m[1]] = decoder.decode(f'"{s[1]}"')
+            break
+    return out
+
+
 def parts_of(text: str) -> Parts:
     """Address, title, body and diff of a text, by its layout; ``bare`` where it has none."""
     text = text.replace("\r\n", "\n").strip("\n")
     if text.startswith("{"):
-        try:
-            j = json.loads(text)
-        except ValueError:
-            j = None
-        if isinstance(j, dict) and ("message" in j and ("sha" in j or "patch" in j)):
+        j = _export(text)
+        if "message" in j and ("sha" in j or "patch" in j):
             title, _, body = str(j.get("message") or "").strip().partition("\n")
             return Parts("json", str(j.get("repo") or ""), title.strip(), body.strip(), str(j.get("patch") or "").strip())
     if text.startswith("commit ") and "\nAuthor:" in text[:400]:

@@ -103,3 +103,23 @@ def test_nulls_repeats_empty_tables_and_the_corpus_without(make, rows):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in residue.without_residue(df, found).collect()) == [(False, 3), (False, 4), (False, 5), (True, 0)]
     empty = make([], SCHEMA)
     assert residue.residue(empty).collect() == []
+
+
+def cut_json(message, patch="diff --git a/x b/x\\n@@ -1 +1 @@\\n-a"):
+    return f'{{"repo": "a/b", "sha": "12", "author": {{"name": "A", "email": "a@b.example"}}, "message": "{message}", "patch": "{patch}'
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "place"),
+    [
+        (cut_json("{MODULE}\\n\\n{REASON}"), "unfilled", "message"), (cut_json("___insert a title___\\n\\nRefs: #1"), "unfilled", "message"), (cut_json("Release ${AUTHOR}\\n\\n${DATE}", "a\\"), "unfilled", "message"),
+        (cut_json("Fix the loader", "Error 503 while fetching the patch: the gateway is restarting\\u00"), "error", "diff"), ('{"repo": "a/b", "sha": "12", "message": "{{title}}\\n\\nThe lo', "unfilled", "message"),
+        (cut_json("Fix the {{title}} of the mail"), "", ""), (cut_json("Fix the loader", ""), "", ""), ('{"repo": "a/b", "sha": "12", "message": "', "", ""), ('{"repo": "a/b", "sha": "12", "message": "Merge ', "", ""),
+    ],
+)
+def test_json_that_is_cut_off(text, kind, place):
+    assert examine(text)[:2] == (kind, place)
+
+
+def test_json_that_is_nested_too_deep():
+    assert parts_of('{"message": ' + "[" * 100_000).layout == "bare"
