@@ -70,7 +70,12 @@ CHROME = re.compile(
 LONGEST = 16
 #: Characters from which on a line is judged by its words alone.
 LONG_LINE = 4000
-FRAMED = re.compile(r"""^(?:it said|still had this|before this|log of|now it)\b|["'“«‘].{6,}["'”»’]""", re.I)
+#: Words before a quotation, and its marks; an apostrophe is one at the edge of a word only, not between letters.
+FRAMED = re.compile(r"^(?:it said|still had this|before this|log of|now it)\b", re.I)
+QUOTES = re.compile(r"""["“«‘]|(?<!\w)'""")
+UNQUOTES = re.compile(r"""["”»]|['’](?!\w)""")
+#: Characters a quotation has at least.
+QUOTED = 6
 
 # --- the layouts ---------------------------------------------------------------------------
 
@@ -205,7 +210,7 @@ def filler(line: str) -> bool:
 
 def notice(line: str) -> str:
     """'error' or 'script' if every sentence of the line is said by such a page, else ''."""
-    kinds, plain = set(), re.sub(r"<[^<>]*>", " ", line).strip()
+    kinds, plain = set(), re.sub(r"<[^<>]*>", " ", line).replace("’", "'").strip()
     for s in re.split(r"(?<=[.!?。])\s+|\s+-\s+", plain):
         s = s.strip(" \t.!\"',:{}[]()")
         if not s or CHROME.match(s):
@@ -223,6 +228,11 @@ def notice(line: str) -> str:
     return "script" if "script" in kinds else "error" if "error" in kinds else ""
 
 
+def framed(line: str) -> bool:
+    """A line that quotes something."""
+    return bool(FRAMED.match(line) or (m := QUOTES.search(line)) and UNQUOTES.search(line, m.end() + QUOTED))
+
+
 def judge(line: str, page: bool = False) -> str:
     """'unfilled', 'ask', 'filler', 'error', 'script', 'frame' or 'content'; with ``page`` its furniture is frame too."""
     s = line.strip()
@@ -237,7 +247,7 @@ def judge(line: str, page: bool = False) -> str:
         return "ask"
     if TRAILER.match(s):
         return "frame"
-    if FRAMED.search(s):
+    if framed(s):
         return "content"
     if filler(s):
         return "filler"

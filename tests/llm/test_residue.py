@@ -123,3 +123,16 @@ def test_json_that_is_cut_off(text, kind, place):
 
 def test_json_that_is_nested_too_deep():
     assert parts_of('{"message": ' + "[" * 100_000).layout == "bare"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "HTTP 503 - The commit isn't here. Oops - that revision can't be shown. (SomeHub, node 3)", "This page can't be displayed. The file couldn't be loaded.", "That revision can’t be shown. The commit isn’t here.",
+        "The users' page can't be shown. That revision isn't here.",
+    ],
+)
+def test_apostrophes_between_letters_quote_nothing(text):
+    assert examine(text)[:2] == ("error", "text")
+    assert examine(git(f"Reword the notice\n\n'{text}'"))[0] == ""
+    assert examine(f"'{text}'")[0] == ""
