@@ -4,8 +4,8 @@ Three kinds of evidence are combined. (1) Detectors judge the lines of each text
 (residue_rules). (2) Mismatch: the terms of title and body are compared with those of the address
 slug and the changed paths, and with the terms that are common in the corpus; a message that
 shares none of them and consists of words hardly any other record uses is filler, whatever its
-letters are. (3) Hosts: short texts without a record's layout in which a cue of such a page
-occurs, whose title is mismatched and whose skeleton is served by several hosts, are pages too.
+letters are. (3) Hosts: short texts without a record's layout whose title is mismatched and whose
+skeleton is served by several hosts are pages too, whatever they say.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ FAMILIAR, RARE = 0.004, 0.0005
 WORDS, UNFAMILIAR_SHARE, RARE_SHARE = 4, 0.7, 0.3
 #: Share of unfamiliar words in the title; a real title may stand before quoted filler.
 TITLE_SHARE = 0.5
+#: A word in this share of the records says nothing about a page's title; such words a page without a cue has at least in its title.
+PLAIN, TITLE_WORDS = 0.05, 2
 #: Hosts that serve the same page, and characters it has at most.
 HOSTS, SHORT = 3, 600
 
@@ -71,21 +73,24 @@ def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: s
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{text}`").cast("string").alias("text"))
     schema = "uid bigint, doc_id bigint, host string, kind string, place string, n_title bigint, title_words array<string>, words array<string>, matched boolean, page bigint, cue boolean"
     seen = cut(rows.mapInArrow(_examined, schema))
-    # document frequencies over all records; their number is a scalar of the same scan
-    total = seen.agg(F.count(F.lit(1)).alias("n")).scalar()
-    counts = seen.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    # document frequencies over all records, of short texts without layout once for all copies of a page
+    once = seen.where("page is null").select("words").unionAll(seen.where("page is not null").groupBy("page").agg(F.min("words").alias("words")).select("words"))
+    total = once.agg(F.count(F.lit(1)).alias("n")).scalar()
+    counts = once.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     # at most (words of a record) / RARE words: some 100,000 of a few bytes, whatever the size of the corpus
     common = cut(counts.where((F.col("df") > F.lit(RARE) * total) & (F.col("df") > 2)))
-    familiar = F.broadcast(common.where(F.col("df") >= F.lit(FAMILIAR) * total).select("word"))
-    open_ = seen.where("kind = '' and size(words) > 0 and (not matched or cue)")
-    strange = open_.select("uid", F.explode("words").alias("word"), "title_words").join(familiar, "word", "left_anti")
+    familiar = F.broadcast(common.where(F.col("df") >= F.lit(FAMILIAR) * total).select("word", (F.col("df") >= F.lit(PLAIN) * total).alias("plain")))
+    open_ = seen.where("kind = '' and size(words) > 0 and not matched")
+    marked = open_.select("uid", F.explode("words").alias("word"), "title_words").join(familiar, "word", "left")
+    plain = marked.where("plain and array_contains(title_words, word)").groupBy("uid").agg(F.count(F.lit(1)).alias("n_plain"))
     # hot words are gone by now: each one left is in less than FAMILIAR of the records
-    rare = strange.join(common.select("word", F.lit(1).alias("known")), "word", "left")
+    rare = marked.where("plain is null").join(common.select("word", F.lit(1).alias("known")), "word", "left")
     shares = rare.groupBy("uid").agg(F.count(F.lit(1)).alias("n_strange"), F.sum(F.col("known").isNull().cast("int")).alias("n_rare"), F.sum(F.array_contains("title_words", F.col("word")).cast("int")).alias("n_strange_title"))
-    pages = seen.where("page is not null and (kind <> '' or cue)").groupBy("page", "host").agg(F.count(F.lit(1)).alias("n")).groupBy("page").agg(F.count("host").alias("hosts"))
-    judged = open_.drop("title_words").join(shares, "uid").join(pages, "page", "left")
-    salad = (~F.col("matched")) & (F.size("words") >= WORDS) & (F.col("n_strange") >= F.lit(UNFAMILIAR_SHARE) * F.size("words")) & (F.col("n_rare") >= F.lit(RARE_SHARE) * F.size("words")) & (F.col("n_strange_title") >= F.lit(TITLE_SHARE) * F.col("n_title"))
-    served = F.col("cue") & (F.col("hosts") >= HOSTS) & (F.col("n_strange_title") >= F.col("n_title")) & (~F.col("matched"))
+    pages = seen.where("page is not null").groupBy("page", "host").agg(F.count(F.lit(1)).alias("n")).groupBy("page").agg(F.count("host").alias("hosts"))
+    judged = open_.drop("title_words").join(shares, "uid").join(plain, "uid", "left").join(pages, "page", "left")
+    salad = (F.size("words") >= WORDS) & (F.col("n_strange") >= F.lit(UNFAMILIAR_SHARE) * F.size("words")) & (F.col("n_rare") >= F.lit(RARE_SHARE) * F.size("words")) & (F.col("n_strange_title") >= F.lit(TITLE_SHARE) * F.col("n_title"))
+    telling = F.col("n_title") - F.coalesce("n_plain", F.lit(0))
+    served = (F.col("hosts") >= HOSTS) & (F.col("cue") | (F.col("n_strange_title") >= TITLE_WORDS)) & (F.col("n_strange_title") >= F.lit(TITLE_SHARE) * telling) & (F.col("n_strange_title") > 0)
     late = judged.withColumn("kind", F.when(served, "error").when(salad, "filler")).where("kind is not null").withColumn("place", F.when(F.col("kind") == "error", "text").otherwise("message"))
     sure = seen.where("kind <> ''").join(pages, "page", "left")
     return sure.select("doc_id", "kind", "place", "hosts").unionByName(late.select("doc_id", "kind", "place", "hosts"))

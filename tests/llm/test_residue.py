@@ -136,3 +136,18 @@ def test_apostrophes_between_letters_quote_nothing(text):
     assert examine(text)[:2] == ("error", "text")
     assert examine(git(f"Reword the notice\n\n'{text}'"))[0] == ""
     assert examine(f"'{text}'")[0] == ""
+
+
+def test_pages_of_several_hosts_without_a_known_phrase(make):
+    r, n = random.Random(2), 1200
+    words = ["".join(r.choices("bcdfglmnprst", k=2)) + "".join(r.choices("aeiou", k=2)) + c for c in "bcdfghklmnpqrstvwxz" for _ in range(5)]
+    # the, is, this, not and to are ordinary words of the corpus, merge and tag ordinary words of its titles
+    real = [(i, f"r{i % 50}", git(f"{r.choice(['fix', 'merge', 'tag'])} the {r.choice(words)}\n\nThe old {r.choice(words)} is slow, this {r.choice(words)} is not to be."), "", 0, 0, "") for i in range(n)]
+    few = "This is not the door to knock\n\nKindly walk around the corner."
+    many = "The curtain is closed to this audience"
+    told = [(10**6 + i, f"host{i}", few, "", 0, 0, "") for i in range(3)] + [(2 * 10**6 + i, f"host{i}", many, "", 0, 0, "") for i in range(40)]
+    terse = [(3 * 10**6 + 100 * k + i, f"host{i}", x, "", 0, 0, "") for k, x in enumerate(["Merge", "Merge tag 'v4.8'", "typo", "Fix the old"]) for i in range(5)]
+    alone = [(4 * 10**6 + i, "host1", "That window is not the gate to open", "", 0, 0, "") for i in range(5)]
+    slug = [(5 * 10**6 + i, f"team/lantern-{i}", "Lantern holder cracked to pieces", "", 0, 0, "") for i in range(5)]
+    got = {x.doc_id: (x.kind, x.hosts) for x in residue.residue(make(real + told + terse + alone + slug, SCHEMA)).collect()}
+    assert got == {10**6 + i: ("error", 3) for i in range(3)} | {2 * 10**6 + i: ("error", 40) for i in range(40)}
