@@ -27,7 +27,7 @@ SCAFFOLD = r"release|branch|into|pull|request|tag|bump|from|to|v|chore|feat|fix|
 TRAILER = re.compile(r"^(?:signed-off-by|reviewed-by|acked-by|tested-by|co-authored-by|reported-by|cc|refs|closes|fixes|see-also|change-id|ticket|issue|bug|link)\b\s*[:#]?\s|^(?:closes|refs|fixes) \S+$|^--$|^---$", re.I)
 #: How instructions to the author begin, and in which shapes they stand.
 ASK = r"(?:please\s+)?(?:describe|explain|state|say|enter|insert|add|fill\s+in|replace(?:\s+this\s+line)?\s+with|summari[sz]e|write|type|put|give|your|short|brief|summary\s+of|why|what|how|title|subject|description|message)\b"
-ASK_WRAPS = (r"<<?[^<>]+>>?", r"\[[^\[\]]+\]", r"\{[^{}]+\}", r"_{2,}.+?_{0,}", r"\*[^*]+\*", r"/[^/]+/", r"\([^()]+\)")
+ASK_WRAPS = (r"<<?[^<>]+>>?", r"\[[^\[\]]+\]", r"\{[^{}]+\}", r"_{2,}.+", r"\*[^*]+\*", r"/[^/]+/", r"\([^()]+\)")
 ASK_FOREIGN = re.compile(
     r"votre message ici|texte ici|text hier einf|hier (?:text|beschreib|eintrag)|aqu[ií] (?:el|su|tu)|(?:escriba|escribe|descreva|describa|d[ée]cri(?:re|vez)|beschreib\w*|опишите|введите|краткое описание|причина изменения)\b|"
     r"r[ée]sum[ée] court|resum(?:o|en) (?:curto|breve)|kurze zusammenfassung|grund der [äa]nderung|raz[oó]n del cambio|motivo d[ao]|raison du changement|"
@@ -41,7 +41,7 @@ FILLER = re.compile(
     r"to show how the (?:message|text) looks|the quick brown fox|asdf",
     re.I,
 )
-KEYS = re.compile(r"^(?:qwe|rty|uio|asd|fgh|jkl|zxc|vbn|lkj|poi|qwerty|asdf|hjkl|dsa|ewq|cxz|nm)+[a-z]{0,2}$")
+KEYS = re.compile(r"^(?:qwe|rty|uio|asd|fgh|jkl|zxc|vbn|lkj|poi|asdf|hjkl|dsa|ewq|cxz|nm)+[a-z]{0,2}$")
 #: What error pages say.
 ERRORS = re.compile(
     r"(?:page|file|revision|commit|repository|project|address|resource|content|document|url|what you (?:are looking|asked) for|you asked for)\b.*\b(?:not found|not be (?:found|displayed|shown)|could ?n[o']t be (?:found|displayed|shown|loaded)|can ?not be (?:shown|displayed|found)|can't be (?:shown|displayed|found)|does not exist|no longer exists?|is private|isn't (?:here|available)|is not (?:here|available|offered)|has been (?:blocked|taken down|taken offline|removed|deleted|moved)|was (?:moved|deleted|removed|taken)|failed to (?:load|render)|leads nowhere|unavailable)|"
@@ -63,13 +63,14 @@ SCRIPT_WANT = r"enable|required?|requires|needs?\b|needed|must be on|has to be|t
 SCRIPTS = re.compile(rf"(?:{SCRIPT_THING}).*(?:{SCRIPT_WANT})|(?:{SCRIPT_WANT}).*(?:{SCRIPT_THING})", re.I)
 #: Page furniture around a notice.
 CHROME = re.compile(
-    r"^(?:[A-Z][\w-]{2,30}(?: - loading ?\.*)?|loading ?\.*|\(c\) .{1,40}|©.{1,40}|\(?[A-Z]\w+, node \d+\)?|\d{3}|request (?:id )?[0-9a-f-]{6,40}|back to the start page|(?:[A-Z][\w ]{1,20}(?: \| |  +))+[A-Z][\w ]{1,20}|home|help|contact|explore|sign in|log ?in|\W+)$",
+    r"^(?:[A-Z][\w-]{2,30}(?: - loading ?\.*)?|loading ?\.*|\(c\) .{1,40}|©.{1,40}|\(?[A-Z]\w+, node \d+\)?|\d{3}|request (?:id )?[0-9a-f-]{6,40}|back to the start page|home|help|contact|explore|sign in|log ?in|\W+)$",
     re.I,
 )
+MENU_ITEM = re.compile(r"[A-Z][\w ]{1,20}", re.I)
 #: Words the sentence of a notice has at most.
 LONGEST = 16
-#: Characters from which on a line is judged by its words alone.
-LONG_LINE = 4000
+#: Characters from which on a sentence is searched for what pages say in steps of linear cost, with the same result.
+LONG_SENTENCE = 400
 #: Words before a quotation, and its marks; an apostrophe is one at the edge of a word only, not between letters.
 FRAMED = re.compile(r"^(?:it said|still had this|before this|log of|now it)\b", re.I)
 QUOTES = re.compile(r"""["“«‘]|(?<!\w)'""")
@@ -208,18 +209,56 @@ def filler(line: str) -> bool:
     return bool(words) and sum(bool(KEYS.match(w)) for w in words) >= max(1, 0.75 * len(words))
 
 
+def _steps(rule: re.Pattern) -> list[list[re.Pattern]]:
+    """The alternatives of a rule, each cut at its '.*'; those without it are one."""
+    parts, depth = [""], 0
+    for token in re.findall(r"\\.|.", rule.pattern):
+        depth += (token == "(") - (token == ")")
+        if token == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += token
+    near = "|".join(x for x in parts if ".*" not in x)
+    return [[re.compile(y, rule.flags) for y in x.split(".*")] for x in ([near] if near else []) + [x for x in parts if ".*" in x]]
+
+
+_STEPS = {rule: _steps(rule) for rule in (ERRORS, SCRIPTS)}
+
+
+def said(rule: re.Pattern, sentence: str) -> bool:
+    """What ``rule.search`` finds, at a cost linear in the sentence."""
+    if len(sentence) <= LONG_SENTENCE:
+        return bool(rule.search(sentence))
+    for steps in _STEPS[rule]:
+        at = 0
+        for step in steps:
+            if not (m := step.search(sentence, at)):
+                break
+            at = m.end()
+        else:
+            return True
+    return False
+
+
+def chrome(s: str) -> bool:
+    """Page furniture: a known piece or a row of menu items."""
+    items = re.split(r" \| | {2,}", s)
+    return bool(CHROME.match(s)) or len(items) > 1 and all(MENU_ITEM.fullmatch(x) for x in items)
+
+
 def notice(line: str) -> str:
     """'error' or 'script' if every sentence of the line is said by such a page, else ''."""
     kinds, plain = set(), re.sub(r"<[^<>]*>", " ", line).replace("’", "'").strip()
+    plain = re.sub(r"\s{3,}", "  ", plain)
     for s in re.split(r"(?<=[.!?。])\s+|\s+-\s+", plain):
         s = s.strip(" \t.!\"',:{}[]()")
-        if not s or CHROME.match(s):
+        if not s or chrome(s):
             continue
         if len(s.split()) > LONGEST:
             return ""
-        if SCRIPTS.search(s):
+        if said(SCRIPTS, s):
             kinds.add("script")
-        elif ERRORS.search(s):
+        elif said(ERRORS, s):
             kinds.add("error")
         elif re.fullmatch(r"(?i)(?:oops|whoops|sorry|hmm|error|notice|we are sorry)\W*|.*\bnode \d+", s):
             continue
@@ -236,10 +275,8 @@ def framed(line: str) -> bool:
 def judge(line: str, page: bool = False) -> str:
     """'unfilled', 'ask', 'filler', 'error', 'script', 'frame' or 'content'; with ``page`` its furniture is frame too."""
     s = line.strip()
-    if not s or page and CHROME.match((re.sub(r"<[^<>]*>", " ", s) if "</" in s else s).strip() or "-"):
+    if not s or page and chrome((re.sub(r"<[^<>]*>", " ", s) if "</" in s else s).strip() or "-"):
         return "frame"
-    if len(s) > LONG_LINE:  # neither a notice nor a template; one word over and over it may be
-        return "filler" if len({w.lower() for w in s.split()}) <= 2 else "content"
     bare = _HEAD.sub("", _MARK.sub("", s)).strip()
     if unfilled(s) or bare and unfilled(bare):
         return "unfilled"

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -151,3 +152,30 @@ def test_pages_of_several_hosts_without_a_known_phrase(make):
     slug = [(5 * 10**6 + i, f"team/lantern-{i}", "Lantern holder cracked to pieces", "", 0, 0, "") for i in range(5)]
     got = {x.doc_id: (x.kind, x.hosts) for x in residue.residue(make(real + told + terse + alone + slug, SCHEMA)).collect()}
     assert got == {10**6 + i: ("error", 3) for i in range(3)} | {2 * 10**6 + i: ("error", 40) for i in range(40)}
+
+
+LONG = [
+    ("Line 3 of placeholder copy. Message text, ", "filler"), ("bla bla, bla. ", "filler"), ("asdf qwe rty fgh ", "filler"), ("{{ title }} ", "unfilled"), ("The page was not found. ", "error"), ("JavaScript is required. ", "script"), ("The loader was slow. ", ""),
+    ("アクセスはできません ", "error"),
+]
+
+
+@pytest.mark.parametrize(("piece", "kind"), LONG)
+@pytest.mark.parametrize("size", [300, 3900, 4100, 50_000])
+def test_length_changes_no_verdict(piece, kind, size):
+    line = (piece * (size // len(piece) + 1)).strip()
+    assert examine(line)[0] == kind if "アクセス" not in piece else examine(line.replace(" ", ""))[0] == kind
+    assert examine(git(f"Sample text 4.\n\n{line}"))[0] == ("filler" if kind else "")
+
+
+@pytest.mark.parametrize("size", [100, 5000, 50_000])
+def test_a_long_word_in_a_notice(size):
+    for text, kind in (("The page x/{} could not be found", "error"), ("Enable this: {} for JavaScript", "script"), ("Quota {} is used up", "error"), ("Rework {} again", "")):
+        assert examine(text.format("a/" * (size // 2)))[0] == kind
+
+
+@pytest.mark.parametrize("text", ["a  " * 40_000 + "!", "file/" * 20_000, "サーバー" * 20_000, "js/" * 20_000, "qwerty" * 20_000 + "zzz", "__a" + "_" * 90_000 + "b", "a" + " " * 90_000 + "b", "« " * 40_000, '{"message": ' + "[" * 100_000])
+def test_long_lines_cost_little(text):
+    start = time.process_time()
+    examine(text)
+    assert time.process_time() - start < 10
