@@ -364,7 +364,9 @@ def examine(text: str | None) -> tuple[str, str, Parts]:
     if p.layout in ("svn", "bare") and not p.diff and p.body:
         # no diff follows: the last paragraphs may stand in its place
         paragraphs = [x for x in p.body.split("\n\n") if x.strip()]
-        for last in ("\n\n".join(paragraphs[-n:]) for n in (1, 2, 3)):
-            if (k := page_kind(last) or part_kind("", last, True)) in ("error", "script"):
+        for n in (1, 2, 3):
+            last = "\n\n".join(paragraphs[-n:])
+            k = page_kind(last) or part_kind("", last, True)
+            if k in ("error", "script") or k in ("unfilled", "ask") and n == 1:
                 return k, "diff", p
     return "", "", p

@@ -179,3 +179,9 @@ def test_long_lines_cost_little(text):
     start = time.process_time()
     examine(text)
     assert time.process_time() - start < 10
+
+
+@pytest.mark.parametrize(("last", "kind"), [("{{diff}}", "unfilled"), ("${PATCH}", "unfilled"), ("Paste the diff here", ""), ("<describe the patch>", "unfilled"), ("[insert the changes]", "ask"), ("Closes: #1", ""), ("It was null before.", ""), ("Reviewed-by: A B", "")])
+def test_residue_in_the_place_of_a_diff_without_layout(last, kind):
+    for make in (lambda m: svn(m, ""), lambda m: m):
+        assert examine(make(f"Fix the loader\n\nIt was slow.\n\n{last}"))[:2] == (kind, "diff" if kind else "")
