@@ -4,8 +4,9 @@ The intermediate result is the number of rows of each (key, value), of any part
 of several samples and days are combined by adding up. Percentiles come from them by distributed
 multi-select: a group's values are spread over parts, every part proposes its local median, the
 weighted median of the proposals becomes the pivot, weights below, at and above it are counted,
-the ranges that cannot hold the wanted rank are discarded, and so on for all groups at once until
-each percentile is found or few enough values are left to order them.
+the ranges that hold no wanted rank are discarded, and so on for all groups and ranges at once
+until every percentile has been a pivot. All percentiles of a group share its pivots: a range that
+holds several ranks is split for all of them, and a value belongs to one range only.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut, release
 from ..plans.salting import salted_join
 
-#: Distinct values a part has, and are left, before a group is ordered; most parts of a group.
-LOCAL, PARTS = 32, 4096
+
+def parts_of(left: Column) -> Column:
+    """Parts for ``left`` distinct values: as many as a part then has values, so neither those of a part nor the proposals are ever more than about the root."""
+    return F.ceil(F.sqrt(left.cast("double"))).cast("bigint")
 
 
 def value_counts(df: DataFrame, key: str, value: str, by: Sequence[str | Column] = ()) -> DataFrame:
@@ -35,50 +38,57 @@ def combine(*counts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [c.select("key", "value", "n") for c in counts]).groupBy("key", "value").agg(F.sum("n").alias("n"))
 
 
-def percentiles(counts: DataFrame, pcts: Sequence[int], min_rows: int = 1, local: int = LOCAL, salts: int = 16) -> DataFrame:
+def _weighted_median(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by..., value, weight): the lower median of each group's values weighted by n, and their whole weight."""
+    own = Window.partitionBy(*by)
+    run = rows.withColumn("__upto", F.sum("n").over(own.orderBy(value))).withColumn("__all", F.sum("n").over(own))
+    return run.where("2 * __upto >= __all and 2 * (__upto - n) < __all").select(*by, value, F.col("__all").alias("weight"))
+
+
+def percentiles(counts: DataFrame, pcts: Sequence[int], min_rows: int = 1, salts: int = 16) -> DataFrame:
     """(key, pct, value): for each key with at least ``min_rows`` rows the smallest value such that at least pct percent of the rows are not above it.
 
-    ``counts`` is the result of combine(). Exact: the error in rank is 0. No group is gathered in
-    one task unless at most ``local`` distinct values of it are left. Each round discards at least
-    a quarter of the weight of every group that is still open, and half of it as a rule.
+    ``counts`` is the result of combine(). Exact: the error in rank is 0. Every percentile is found
+    as a pivot, in groups of any size; what is put in order are the values of a part and the
+    proposals of a range, both about the root of the range's distinct values. Each round takes at
+    least a quarter of the weight from every open range, half of it as a rule. Keys and values are
+    not null; an empty table gives no rows.
     """
     counts = cut(counts)
+    wanted = F.array(*[F.struct(F.lit(int(p)).alias("pct"), F.greatest(F.lit(1), F.expr(f"({int(p)} * total + 99) div 100")).alias("rank")) for p in sorted(set(pcts))])
     sizes = counts.groupBy("key").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("left")).where(F.col("total") >= min_rows)
-    pct = F.explode(F.array(*[F.lit(int(p)) for p in pcts])).alias("pct")
-    wanted = sizes.select("key", "total", "left", pct).select("key", "pct", F.greatest(F.lit(1), F.expr("(pct * total + 99) div 100")).alias("rank"), "left")
-    # rows that can still hold a wanted rank: (key, pct, value, n, rank, left)
-    base, rows = counts, cut(salted_join(counts, wanted, ["key"], F.col("value"), salts))
+    # a range is named by the least of the percentiles it holds; ranks count within the range
+    ranges = cut(sizes.select("key", F.lit(int(min(pcts))).alias("seg"), "left", wanted.alias("ranks")))
+    rows = cut(salted_join(counts, ranges.drop("ranks"), ["key"], F.col("value"), salts))
+    release(counts)
     found = []
-    one, group = Window.partitionBy("key", "pct").orderBy("value"), Window.partitionBy("key", "pct")
-    while True:
-        few = rows.where(F.col("left") <= local).withColumn("upto", F.sum("n").over(one))
-        found.append(few.where("upto >= rank and upto - n < rank").select("key", "pct", "value"))
-        open_ = rows.where(F.col("left") > local)
-        if open_.isEmpty():
-            break
-        parts = F.least(F.lit(PARTS), F.ceil(F.col("left") / local))
-        part = Window.partitionBy("key", "pct", "part")
-        spread = open_.withColumn("part", F.pmod(F.xxhash64("value"), parts))
-        ranked = spread.withColumn("upto", F.sum("n").over(part.orderBy("value"))).withColumn("all", F.sum("n").over(part))
-        medians = ranked.where("2 * upto >= all and 2 * (upto - n) < all").select("key", "pct", F.col("value").alias("median"), F.col("all").alias("weight"))
-        proposals = medians.groupBy("key", "pct", "median").agg(F.sum("weight").alias("weight"))
-        ranked = proposals.withColumn("upto", F.sum("weight").over(group.orderBy("median"))).withColumn("all", F.sum("weight").over(group))
-        pivots = ranked.where("2 * upto >= all and 2 * (upto - weight) < all").select("key", "pct", F.col("median").alias("pivot"))
-        three = salted_join(open_, pivots, ["key", "pct"], F.col("value"), salts)
+    while not rows.isEmpty():
+        part = F.pmod(F.xxhash64("value"), parts_of(F.col("left")))
+        medians = _weighted_median(rows.select("key", "seg", part.alias("part"), "value", "n"), ["key", "seg", "part"], "value")
+        proposals = medians.groupBy("key", "seg", F.col("value").alias("pivot")).agg(F.sum("weight").alias("n"))
+        pivots = _weighted_median(proposals, ["key", "seg"], "pivot").drop("weight").join(ranges.select("key", "seg", "ranks"), ["key", "seg"])
+        three = salted_join(rows, pivots, ["key", "seg"], F.col("value"), salts)
         below, above = F.col("value") < F.col("pivot"), F.col("value") > F.col("pivot")
-        three = three.groupBy("key", "pct", "pivot", "rank").agg(
+        three = three.groupBy("key", "seg", "pivot").agg(
+            F.first("ranks").alias("ranks"),
             F.sum(F.when(below, F.col("n")).otherwise(0)).alias("less"), F.sum(F.when(below | above, 0).otherwise(F.col("n"))).alias("equal"),
             F.sum(below.cast("bigint")).alias("n_less"), F.sum(above.cast("bigint")).alias("n_more"),
         )
-        side = F.when(F.col("rank") <= F.col("less"), -1).when(F.col("rank") <= F.col("less") + F.col("equal"), 0).otherwise(1)
-        moves = cut(three.withColumn("side", side))
-        found.append(moves.where("side = 0").select("key", "pct", F.col("pivot").alias("value")))
-        next_rank = F.when(F.col("side") < 0, F.col("rank")).otherwise(F.col("rank") - F.col("less") - F.col("equal"))
-        ahead = moves.where("side <> 0").select("key", "pct", "pivot", "side", next_rank.alias("rank"), F.when(F.col("side") < 0, F.col("n_less")).otherwise(F.col("n_more")).alias("left"))
-        kept = salted_join(open_.select("key", "pct", "value", "n"), ahead, ["key", "pct"], F.col("value"), salts)
-        # the values found so far are settled before the rows they come from go
-        found[-2] = cut(found[-2])
-        last, rows = rows, cut(kept.where("sign(value - pivot) = side").select("key", "pct", "value", "n", "rank", "left"))
+        upto = F.col("less") + F.col("equal")
+        split = cut(
+            three.withColumn("hit", F.filter("ranks", lambda r: (r["rank"] > F.col("less")) & (r["rank"] <= upto)))
+            .withColumn("low", F.filter("ranks", lambda r: r["rank"] <= F.col("less")))
+            .withColumn("high", F.transform(F.filter("ranks", lambda r: r["rank"] > upto), lambda r: F.struct(r["pct"].alias("pct"), (r["rank"] - upto).alias("rank"))))
+        )
+        found.append(split.select("key", F.explode("hit.pct").alias("pct"), F.col("pivot").alias("value")))
+        sides = split.where("size(low) + size(high) > 0").select("key", "seg", "pivot", "n_less", "n_more", F.get("low", F.lit(0))["pct"].alias("low"), F.get("high", F.lit(0))["pct"].alias("high"))
+        kept = salted_join(rows.select("key", "seg", "value", "n"), sides, ["key", "seg"], F.col("value"), salts)
+        down = F.col("value") < F.col("pivot")
+        kept = kept.select("key", F.when(down, F.col("low")).when(F.col("value") > F.col("pivot"), F.col("high")).alias("seg"), "value", "n", F.when(down, F.col("n_less")).otherwise(F.col("n_more")).alias("left"))
+        last, rows = rows, cut(kept.where("seg is not null"))
         release(last)
-    release(base)
+        ranges = split.select("key", F.explode(F.array("low", "high")).alias("ranks")).where("size(ranks) > 0").select("key", F.col("ranks")[0]["pct"].alias("seg"), "ranks")
+    release(rows)
+    if not found:
+        return counts.sparkSession.createDataFrame([], f"key {counts.schema['key'].dataType.simpleString()}, pct int, value bigint")
     return reduce(DataFrame.unionByName, found)
