@@ -125,7 +125,8 @@ def heavy_candidates(cells: DataFrame, share: float, rows: int = ROWS, cols: int
         hit = upper >= share * total
         yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(lower[hit]), pa.array(upper[hit]), pa.array(np.full(int(hit.sum()), total))], names=["key", "lower", "upper", "total"])
 
-    return cells.coalesce(1).mapInArrow(bounds, "key bigint, lower bigint, upper bigint, total bigint")
+    # a shuffle of its own: the merge before it keeps its tasks, and one task gets merged cells only
+    return cells.repartition(1).mapInArrow(bounds, "key bigint, lower bigint, upper bigint, total bigint")
 
 
 def heavy_hitters(df: DataFrame, key: str, weight: str, share: float, exact: bool = True, rows: int = ROWS, cols: int = COLS) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from ..plans.salting import salted_join
 
 #: Ranges of draws for each doubling, and parts of a range.
 OCTAVE, PARTS = 16, 1 << 16
@@ -26,13 +27,16 @@ def quality_weight() -> Column:
     return F.when(F.col("n_tokens") > 0, F.greatest(F.lit(0.05), F.least(F.lit(1.0), F.col("n_text_chars") / F.col("n_tokens") / 3.5))).otherwise(1.0)
 
 
-def mix_plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
-    """(source, target_share, max_repeats, n_records, available, budget, epochs, rest, reachable) of each source with a target.
+def mix_plan(sizes: DataFrame, targets: DataFrame, total: int | None = None, hold: bool = False) -> DataFrame:
+    """(source, target_share, max_repeats, n_records, available, budget, epochs, rest) of each source with a target.
 
     ``sizes`` has (source, n_tokens); the mix is as large as all of it, or has ``total`` tokens.
-    A source's budget is its share of the mix; it is read ``epochs`` times as a whole and once more
-    for ``rest`` tokens, at most max_repeats times in all. Of repeated targets of a source the one
-    with the largest share holds; targets with a null source, share or max_repeats are left out.
+    What a source cannot give is missing in the mix, so the shares of all others rise; with
+    ``hold`` the mix is made as much smaller as it must be for every source with tokens to reach
+    its share beside the others. A source's budget is its share of the mix; it is read ``epochs``
+    times as a whole and once more for ``rest`` tokens, at most max_repeats times in all. Of
+    repeated targets of a source the one with the largest share holds; targets with a null source,
+    share or max_repeats are left out.
     """
     have = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_records"), F.sum("n_tokens").alias("available"))
     goal = targets.select("source", F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("bigint").alias("max_repeats"))
@@ -40,7 +44,10 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) ->
     goal = goal.groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("b")).select("source", "b.*")
     size = F.lit(total).cast("bigint") if total is not None else sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).scalar()
     plan = goal.join(have, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("n_records", F.lit(0)).alias("n_records"), F.coalesce("available", F.lit(0)).alias("available"), (F.col("target_share") * size).alias("want"))
-    plan = plan.withColumn("budget", F.floor("want")).withColumn("reachable", F.col("want") <= F.col("available") * F.col("max_repeats"))
+    if hold:
+        least = F.min(F.when((F.col("available") > 0) & (F.col("want") > 0), F.col("available") * F.col("max_repeats") / F.col("want"))).over(Window.partitionBy())  # over a row for each target
+        plan = plan.withColumn("want", F.col("want") * F.least(F.lit(1.0), F.coalesce(least, F.lit(1.0))))
+    plan = plan.withColumn("budget", F.floor("want"))
     plan = plan.withColumn("epochs", F.when(F.col("available") > 0, F.least(F.col("max_repeats"), F.expr("budget div available"))).otherwise(0))
     rest = F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("available")).otherwise(0)
     return plan.withColumn("rest", F.when(F.col("available") > 0, rest).otherwise(0)).drop("want")
@@ -64,7 +71,7 @@ def mix(sizes: DataFrame, plan: DataFrame, record: str, weight: Column | None =
         steps = open_.groupBy("source", level).agg(F.sum("n_tokens").alias("size")).join(limits, "source")
         upto = F.col("base") + F.sum("size").over(Window.partitionBy("source").orderBy(level))
         steps = steps.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("size")).drop("size", "base")
-        marked = open_.join(steps, ["source", level])
+        marked = salted_join(open_, steps, ["source", level], F.col("record"))
         more = F.when((F.col("rest") > 0) & (F.col("upto") <= F.col("rest")), 1).otherwise(0)
         edge = (F.col("rest") > 0) & (F.col("before") < F.col("rest")) & (F.col("upto") > F.col("rest"))
         taken.append(marked.where(~edge).select("record", "source", "n_tokens", (F.col("epochs") + more).alias("copies")))
@@ -79,11 +86,17 @@ def mix(sizes: DataFrame, plan: DataFrame, record: str, weight: Column | None =
 
 
 def mix_shares(mixed: DataFrame, plan: DataFrame) -> DataFrame:
-    """(source, target_share, actual_share, n_tokens, n_records, max_copies, reachable) of the mix, for every source of the plan."""
-    own = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n_tokens"), F.count(F.lit(1)).alias("n_records"), F.max("copies").alias("max_copies"))
-    out = plan.select("source", "target_share", "reachable").join(own, "source", "left").fillna(0, ["n_tokens", "n_records", "max_copies"])
+    """(source, target_share, actual_share, n_tokens, n_records, max_copies, reached) of the mix, for every source of the plan.
+
+    All but target_share are taken from the mix itself. A source is not ``reached`` if its tokens
+    fall short of its budget though each of its records is used max_repeats times.
+    """
+    own = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n_tokens"), F.count(F.lit(1)).alias("n_records"), F.max("copies").alias("max_copies"), F.sum("copies").alias("uses"))
+    out = plan.select("source", "target_share", "max_repeats", "budget", F.col("n_records").alias("n_have")).join(own, "source", "left").fillna(0, ["n_tokens", "n_records", "max_copies", "uses"])
     all_ = F.sum("n_tokens").over(Window.partitionBy())  # over a row for each target
-    return out.withColumn("actual_share", F.when(all_ > 0, F.col("n_tokens") / all_).otherwise(0.0)).select("source", "target_share", "actual_share", "n_tokens", "n_records", "max_copies", "reachable")
+    out = out.withColumn("actual_share", F.when(all_ > 0, F.col("n_tokens") / all_).otherwise(0.0))
+    out = out.withColumn("reached", (F.col("n_tokens") >= F.col("budget")) | (F.col("uses") < F.col("n_have") * F.col("max_repeats")))
+    return out.select("source", "target_share", "actual_share", "n_tokens", "n_records", "max_copies", "reached")
 
 
 def sized(tokens: DataFrame) -> DataFrame:

@@ -61,6 +61,24 @@ def test_packing_nothing(make):
     assert packing.fill_report(empty, 10).first().n_containers == 0
 
 
+def test_split_items_follow_the_finished_containers(make):
+    data = [(i, 7) for i in range(30)] + [(100, 25), (100, 3), (101, 10), (102, 11), (103, 4), (103, 5)]
+    packed = packing.pack(make(data, "doc bigint, size bigint"), "doc", "size", 10)
+    assert sorted(r.item for r in packing.split_items(packed).collect()) == [100, 102]
+    # pieces that had come to lie in one container would be no split
+    same = packed.withColumn("container", packed.container * 0)
+    assert packing.split_items(same).collect() == []
+
+
+def test_groups_of_partitions_are_packed_apart(make, monkeypatch):
+    monkeypatch.setattr(packing, "TOGETHER", 1)
+    packed = packing.pack(make([(i, 3 + i % 4) for i in range(300)], "doc bigint, size bigint"), "doc", "size", 10).collect()
+    fill = defaultdict(int)
+    for r in packed:
+        fill[r.container] += r["size"]
+    assert len(packed) == 300 and max(fill.values()) <= 10 and len({r.row for r in packed}) == 300
+
+
 @pytest.fixture(scope="module")
 def counter():
     with open(f"{tokens.FOLDER}/{tokens.VOCABULARY}", "rb") as f:
@@ -96,8 +114,7 @@ def test_shares_repeats_and_shortfall(make):
     docs = [(i, "big", 10, 40) for i in range(3000)] + [(10_000 + i, "mid", 7, 20) for i in range(500)] + [(20_000 + i, "tiny", 5, 9) for i in range(20)] + [(30_000, "none", 50, 9), (30_001, None, 50, 9)]
     sizes, plan, mix = mixed(make, docs, [("big", 0.5, 3), ("mid", 0.3, 4), ("tiny", 0.1, 2), ("gone", 0.1, 9), (None, 0.1, 1), ("none", None, 1)])
     total = sum(d[2] for d in docs)
-    p = {r.source: r for r in plan.collect()}
-    assert {s for s, r in p.items() if not r.reachable} == {"tiny", "gone"} and set(p) == {"big", "mid", "tiny", "gone"}
+    assert {r.source for r in plan.collect()} == {"big", "mid", "tiny", "gone"}
     got = defaultdict(int)
     copies = {}
     for r in mix.collect():
@@ -106,9 +123,30 @@ def test_shares_repeats_and_shortfall(make):
     assert abs(got["big"] - 0.5 * total) <= 10 and abs(got["mid"] - 0.3 * total) <= 7 and got["tiny"] == 200
     assert copies["tiny"] == {2} and copies["mid"] <= {2, 3, 1} and max(copies["mid"]) - min(copies["mid"]) <= 1 and copies["big"] == {1}
     shares = {r.source: r for r in mixing.mix_shares(mix, plan).collect()}
+    assert {s for s, r in shares.items() if not r.reached} == {"tiny", "gone"}
     assert abs(sum(r.actual_share for r in shares.values()) - 1) < 1e-9 and shares["gone"].n_tokens == 0 and shares["tiny"].max_copies == 2
 
 
+def test_what_is_reached_is_read_from_the_mix(make):
+    """A source just large enough is reached, whether its repeats end with or before the budget; one token less and it is not."""
+    docs = [(i, "a", 10, 1) for i in range(100)] + [(1000 + i, "b", 10, 1) for i in range(100)]
+    for share, reached in ((0.5, True), (0.995, True), (1.0, True)):
+        _, plan, mix = mixed(make, docs, [("a", share, 2)])
+        assert [r.reached for r in mixing.mix_shares(mix, plan).collect()] == [reached]
+    _, plan, mix = mixed(make, docs, [("a", 1.0, 2)], total=2001)
+    assert [r.reached for r in mixing.mix_shares(mix, plan).collect()] == [False]
+    # the report follows the mix, not the plan: a record that is missing shows
+    _, plan, mix = mixed(make, docs, [("a", 0.5, 2)])
+    assert [r.reached for r in mixing.mix_shares(mix.where("copies < 0"), plan).collect()] == [True] and mix.count() == 100
+
+
+def test_a_held_mix_is_smaller_and_has_the_shares(make):
+    docs = [(i, "big", 10, 40) for i in range(3000)] + [(20_000 + i, "tiny", 5, 9) for i in range(40)]
+    _, plan, mix = mixed(make, docs, [("big", 0.8, 1), ("tiny", 0.2, 3), ("gone", 0.0, 1)], hold=True)
+    shares = {r.source: r for r in mixing.mix_shares(mix, plan).collect()}
+    assert shares["tiny"].n_tokens == 600 and abs(shares["tiny"].actual_share - 0.2) < 0.01 and abs(shares["big"].actual_share - 0.8) < 0.01
+
+
 def test_choice_is_stable_and_prefers_quality(make):
     docs = [(i, "s", 10, 35 if i % 2 else 4) for i in range(4000)]
     again = [{r.doc_id for r in mixed(make, docs, [("s", 0.25, 1)])[2].collect()} for _ in range(2)]
