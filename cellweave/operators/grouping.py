@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,27 +53,37 @@ def n_molecules(bus: DataFrame) -> DataFrame:
     return bus.where("cb is not null and umi is not null").select("cb", "umi").distinct().agg(F.count(F.lit(1)).alias("n_molecules"))
 
 
-def check_sorted(bus: DataFrame, keys: Sequence[str], order: str = "pos", span: int = 1 << 20) -> DataFrame:
-    """``bus`` unchanged, or an error ``Unsorted busfile: a -> b`` where the keys fall from one record to the next.
+def _before(rows: DataFrame, keys: Sequence[str], order: str, span: int) -> DataFrame:
+    """``rows`` with __prior, the keys of the record before in ``order``; null for the first.
 
-    Records are compared within ranges of ``span`` positions; of each range only the first and
-    last record take part in the comparison of ranges, so nothing is gathered in one task.
+    Records are compared within ranges of ``span`` positions, the last records of ranges within
+    ranges of ranges, and only those of the latter, a row for ``span`` squared positions, in one task.
     """
-    key = F.struct(*keys)
-    said = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
-    said = F.concat(F.lit("("), said, F.lit(")")) if len(keys) > 1 else said
-    w = Window.partitionBy("__range").orderBy(order)
-    own = bus.withColumn("__range", F.expr(f"{order} div {span}")).withColumn("__said", said)
-    own = own.withColumn("__last", F.lag(key).over(w)).withColumn("__last_said", F.lag("__said").over(w))
-    ends = own.groupBy("__range").agg(F.max_by(F.struct(key.alias("k"), "__said"), order).alias("end"))
-    # a row for each range of a million records
-    over = Window.orderBy("__range")
-    before = ends.select("__range", F.lag("end.k").over(over).alias("__end"), F.lag("end.__said").over(over).alias("__end_said"))
-    own = own.join(before, "__range", "left")
-    prior, prior_said = F.coalesce("__last", "__end"), F.coalesce("__last_said", "__end_said")
-    bad = F.raise_error(F.concat(F.lit("Unsorted busfile: "), prior_said, F.lit(" -> "), F.col("__said")))
-    checked = own.withColumn(order, F.when(prior > key, bad.cast("bigint")).otherwise(F.col(order)))
-    return checked.select(*bus.columns)
+    own = rows.withColumn("__at", F.expr(f"{order} div {span}"))
+    own = own.withColumn("__prior", F.lag(F.struct(*keys)).over(Window.partitionBy("__at").orderBy(order)))
+    ends = own.groupBy("__at").agg(F.max_by(F.struct(*keys), order).alias("__end")).withColumn("__up", F.expr(f"__at div {span}"))
+    inner = ends.withColumn("__k", F.lag("__end").over(Window.partitionBy("__up").orderBy("__at")))
+    tops = ends.groupBy("__up").agg(F.max_by("__end", "__at").alias("__end"))
+    tops = tops.select("__up", F.lag("__end").over(Window.orderBy("__up")).alias("__far"))
+    known = inner.join(tops, "__up", "left").select("__at", F.coalesce("__k", "__far").alias("__known"))
+    return own.join(known, "__at", "left").withColumn("__prior", F.coalesce("__prior", "__known")).drop("__at", "__known")
+
+
+def order_faults(bus: DataFrame, keys: Sequence[str], order: str = "pos", span: int = 1 << 20) -> DataFrame:
+    """(order, keys..., prior) of each record whose keys are below those of the record before it; ``prior`` is a struct of those. Null keys come first."""
+    return _before(bus.select(order, *keys), keys, order, span).where(F.col("__prior") > F.struct(*keys)).withColumnRenamed("__prior", "prior")
+
+
+def check_sorted(bus: DataFrame, keys: Sequence[str], order: str = "pos", span: int = 1 << 20) -> DataFrame:
+    """``bus`` unchanged, or an error ``Unsorted busfile: a -> b`` where the keys fall from one record to the next."""
+
+    def said(of: str) -> Column:
+        text = F.concat_ws(", ", *[F.col(f"{of}{k}").cast("string") for k in keys])
+        return F.concat(F.lit("("), text, F.lit(")")) if len(keys) > 1 else text
+
+    own = _before(bus, keys, order, span)
+    bad = F.raise_error(F.concat(F.lit("Unsorted busfile: "), said("__prior."), F.lit(" -> "), said("")))
+    return own.withColumn(order, F.when(F.col("__prior") > F.struct(*keys), bad.cast("bigint")).otherwise(F.col(order))).select(*bus.columns)
 
 
 def head_records(bus: DataFrame, n: int, order: str = "pos") -> DataFrame:

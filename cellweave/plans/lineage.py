@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: str | None = None
+#: Folders of cuts that are still there, oldest first.
+_made: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,21 +37,38 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed once, written to the shared folder and read from there."""
+    """``df``, computed once, written to the shared folder and read from there.
+
+    Its files stay until release(), release_all() or the end of the driver's process.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cellweave/{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(release_all)
+    _made[path] = spark
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path  # type: ignore[attr-defined]
     return out
 
 
-def release(df: DataFrame | None) -> None:
-    """Delete the files of a cut that nothing reads any more."""
-    path = getattr(df, "_cut_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _made.pop(path, None)
+
+
+def release(*cuts: DataFrame | None) -> None:
+    """Delete the files of cuts that nothing reads any more."""
+    for df in cuts:
+        if path := getattr(df, "_cut_path", None):
+            _delete(df.sparkSession, path)
+
+
+def release_all() -> None:
+    """Delete the files of every cut of this process: those that results still to be read are made from too."""
+    for path, spark in list(_made.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # a session that has ended; its folder is the cluster's to clean
+            _made.pop(path, None)
