@@ -1,12 +1,12 @@
 """References to records that do not exist, or not at that time.
 
 Parent and child keys of any number of tables are brought into one long form tagged with the
-parent table, grouped by parent table, key and period, and the groups in which no parent row is
-valid are kept with their counts. Validity intervals are handled by the same grouping on ever
-finer periods: a (key, day) in which no validity starts or ends is settled by its day alone, so
-only rows of days with such a change are looked at by minute, and only those of minutes with a
-change at their exact time. A hot key is therefore reduced to a row a day before anything is
-ordered, and no task orders more than a key's periods.
+parent table, grouped by parent table and key, and what is left without a valid parent is counted
+by period. Validity intervals are handled by the same grouping on slots of time. The parents
+alone tell on which (key, day) and in which (key, minute) a validity starts or ends; a child row
+counts in the slot of its day where nothing changes, of its minute where the day changes but the
+minute does not, and of its exact time else. One scan adds the children up by key and slot before
+they are shuffled, so a hot key is reduced to a row a slot before anything is ordered.
 """
 
 from __future__ import annotations
@@ -18,11 +18,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
 from ..plans.salting import salted_join
 
-DAY_US = 86_400_000_000
-GRAINS_US = (DAY_US, 60_000_000, 1)
+DAY_US, MINUTE_US = 86_400_000_000, 60_000_000
 
 
 @dataclass(frozen=True)
@@ -73,6 +71,16 @@ def _references(children: Sequence[Child]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _start(grain: int) -> Column:
+    """When the period of a time begins."""
+    return F.expr(f"t - pmod(t, {grain})")
+
+
+def _changed(bounds: DataFrame, grain: int) -> DataFrame:
+    """(parent, key, start): periods in which a validity starts or ends."""
+    return bounds.select("parent", "key", _start(grain).alias("start")).distinct()
+
+
 def orphan_references(children: Sequence[Child], parents: Sequence[Parent]) -> DataFrame:
     """(child, parent, day, key, reason, n): n rows of ``child`` on ``day`` refer to a key no row of ``parent`` is valid for at their time.
 
@@ -82,38 +90,20 @@ def orphan_references(children: Sequence[Child], parents: Sequence[Parent]) -> D
     valid. Repeated child rows all count. Columns other than the named ones are ignored.
     """
     refs, bounds = _references(children), _bounds(parents)
-    found = [refs.where("t is null").groupBy("child", "parent", "key").agg(F.count(F.lit(1)).alias("n")).select("child", "parent", F.lit(None).cast("bigint").alias("day_no"), "key", F.lit("missing").alias("reason"), "n")]
-    rows, scope, opening = refs.where("t is not null"), ["parent", "key"], None
-    for level, grain in enumerate(GRAINS_US):
-        period = F.col("t") if grain == 1 else F.expr(f"(t - pmod(t, {grain})) div {grain}")
-        tagged = rows.groupBy(*scope, "child", period.alias("period")).agg(F.count(F.lit(1)).alias("n")).select(*scope, "child", "period", "n", F.lit(0).cast("bigint").alias("delta"), F.lit(0).cast("bigint").alias("changes"))
-        edge = bounds.groupBy(*scope, period.alias("period")).agg(F.sum("delta").alias("delta"), F.count(F.lit(1)).alias("changes")).select(*scope, F.lit(None).cast("string").alias("child"), "period", F.lit(0).cast("bigint").alias("n"), "delta", "changes")
-        long = tagged.unionByName(edge)
-        if opening is not None:  # what was valid when the coarser period began
-            long = long.unionByName(opening.select(*scope, F.lit(None).cast("string").alias("child"), F.expr(f"scope_from div {grain} - 1").alias("period"), F.lit(0).cast("bigint").alias("n"), F.col("valid").alias("delta"), F.col("before").alias("changes")))
-        w = Window.partitionBy(*scope).orderBy("period")
-        past = w.rangeBetween(Window.unboundedPreceding, 0 if grain == 1 else -1)
-        long = (
-            long.withColumn("valid", F.coalesce(F.sum("delta").over(past), F.lit(0)))
-            .withColumn("before", F.coalesce(F.sum("changes").over(past), F.lit(0)))
-            .withColumn("here", F.lit(0).cast("bigint") if grain == 1 else F.sum("changes").over(w.rangeBetween(0, 0)))
-            .withColumn("ever", F.sum("changes").over(Window.partitionBy(*scope)))
-            .where("child is not null")
-        )
-        seen = cut(long) if grain != 1 else long
-        reason = F.when(F.col("ever") == 0, "missing").when(F.col("before") == 0, "added_later").otherwise("removed")
-        found.append(seen.where("here = 0 and valid <= 0").select("child", "parent", F.expr(f"(period * {grain} - pmod(period * {grain}, {DAY_US})) div {DAY_US}").alias("day_no"), "key", reason.alias("reason"), "n"))
-        if grain == 1:
-            break
-        # periods with a change inside: at most two for each parent row
-        name = f"p{level}"
-        mixed = seen.where("here > 0").select(*scope, F.col("period").alias(name), F.expr(f"period * {grain}").alias("scope_from"), "valid", "before").distinct()
-        opening = mixed
-        keyed = mixed.select(*scope, name)
-        rows = salted_join(rows.withColumn(name, period), keyed, [*scope, name], F.col("t"))
-        bounds = bounds.withColumn(name, period).join(keyed, [*scope, name], "left_semi")
-        scope = [*scope, name]
-    out = reduce(DataFrame.unionByName, found).groupBy("child", "parent", "day_no", "key", "reason").agg(F.sum("n").alias("n"))
+    # what changes when: at most two rows for each parent row
+    day, minute = (_changed(bounds, grain) for grain in (DAY_US, MINUTE_US))
+    rows = refs
+    for name, grain, changed in (("__day", DAY_US, day), ("__minute", MINUTE_US, minute)):
+        rows = salted_join(rows.withColumn(name, _start(grain)), changed.withColumnRenamed("start", name).withColumn(f"{name}_changes", F.lit(True)), ["parent", "key", name], F.col("t"), how="left")
+    slot = F.when(F.col("__day_changes").isNull(), F.col("__day")).when(F.col("__minute_changes").isNull(), F.col("__minute")).otherwise(F.col("t"))
+    own = rows.groupBy("parent", "key", "child", slot.alias("t")).agg(F.count(F.lit(1)).alias("n")).withColumn("delta", F.lit(0).cast("bigint")).withColumn("changes", F.lit(0).cast("bigint"))
+    edge = bounds.groupBy("parent", "key", "t").agg(F.sum("delta").alias("delta"), F.count(F.lit(1)).alias("changes")).withColumn("child", F.lit(None).cast("string")).withColumn("n", F.lit(0).cast("bigint"))
+    key = Window.partitionBy("parent", "key")
+    past = key.orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    long = own.unionByName(edge).withColumn("valid", F.sum("delta").over(past)).withColumn("before", F.sum("changes").over(past)).withColumn("ever", F.sum("changes").over(key))
+    reason = F.when(F.col("t").isNull() | (F.col("ever") == 0), "missing").when(F.col("before") == 0, "added_later").otherwise("removed")
+    out = long.where("child is not null and (t is null or valid <= 0)").withColumn("reason", reason).withColumn("day_no", F.expr(f"(t - pmod(t, {DAY_US})) div {DAY_US}"))
+    out = out.groupBy("child", "parent", "day_no", "key", "reason").agg(F.sum("n").alias("n"))
     return out.select("child", "parent", F.date_format(F.date_from_unix_date(F.col("day_no").cast("int")), "yyyy-MM-dd").alias("day"), "key", "reason", "n")
 
 
