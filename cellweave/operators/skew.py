@@ -13,10 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from ..plans.salting import salted_join
-
-#: Sub-ranges a range is divided into at each level of the search for a percentile.
-FANOUT = 1 << 16
 
 
 def value_frequencies(df: DataFrame, key: str, value: str, weight: str | None = None) -> DataFrame:
@@ -52,36 +48,27 @@ def key_modes(freq: DataFrame) -> DataFrame:
     return freq.where("value is not null").groupBy("key").agg(best).select("key", F.col("b.value").alias("mode"), (-F.col("b.neg")).alias("mode_n"))
 
 
-def key_percentiles(freq: DataFrame, pcts: Sequence[int], levels: int = 2, salts: int = 16) -> DataFrame:
-    """(key, pct, value): the smallest integer value with at least pct percent of rows not above it.
+def key_percentiles(freq: DataFrame, pcts: Sequence[int]) -> DataFrame:
+    """(key, pct, value): the smallest value with at least pct percent of rows not above it.
 
-    Nulls do not count; keys with nothing else have no row. Exact. A key of at most FANOUT distinct
-    values is ordered as it is. The range of any other is cut into FANOUT parts of equal width,
-    weights are summed per part, the part that holds the wanted rank is cut again (``levels``
-    times), and the values of the last part are ordered. So no task orders more than FANOUT parts
-    or values of a key, whatever share of the rows the key holds. Values must be integers whose
-    range within a key is below 2**62.
+    Nulls do not count; keys with nothing else have no row; a null key is a key of its own. Exact.
+    The weighted values of all keys are put into one order by ranges of (key, value) of equal
+    numbers of rows, so a hot key lies in as many ranges as it needs and a task orders one range.
+    Weights are added up within a range, and the sums of a key's ranges, a row each, before it.
     """
-    # read several times below
-    rows = cut(freq.where("value is not null").select("key", F.col("value").cast("bigint").alias("value"), "n"))
-    span = rows.groupBy("key").agg(F.min("value").alias("lo"), (F.max("value") - F.min("value") + 1).alias("span"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("m"))
-    wanted = F.array(*[F.lit(int(p)) for p in pcts])
-    # at most one key for each FANOUT rows
-    large = span.where(F.col("m") > FANOUT)
-    by_key = Window.partitionBy("key")
-    small = rows.join(large.select("key"), "key", "left_anti").withColumn("upto", F.sum("n").over(by_key.orderBy("value"))).withColumn("total", F.sum("n").over(by_key))
-    hit = F.filter(wanted, lambda p: (p * F.col("total") <= F.col("upto") * 100) & ((p * F.col("total") > (F.col("upto") - F.col("n")) * 100) | ((p * F.col("total") <= 0) & (F.col("upto") == F.col("n")))))
-    direct = small.select("key", F.explode(hit).alias("pct"), "value")
+    rows = freq.where("value is not null").select("key", F.col("value").cast("bigint").alias("value"), "n")
+    ranged = cut(rows.repartitionByRange("key", "value").withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("key", "part").agg(F.sum("n").alias("size"))
+    # a row for each key and range it lies in
+    own = Window.partitionBy("key")
+    starts = sizes.withColumn("start", F.sum("size").over(own.orderBy("part")) - F.col("size")).withColumn("total", F.sum("size").over(own)).drop("size")
+    run = ranged.withColumn("run", F.sum("n").over(Window.partitionBy("key", "part").orderBy("value")))
+    starts = starts.select(F.col("key").alias("__key"), F.col("part").alias("__part"), "start", "total")
+    upto = F.col("start") + F.col("run")
+    placed = run.join(starts, F.col("key").eqNullSafe(F.col("__key")) & (F.col("part") == F.col("__part"))).withColumn("upto", upto)
     # rank = ceil(pct * total / 100) in whole numbers, at least 1
-    state = large.select("key", "lo", "span", "total", F.explode(wanted).alias("pct")).select("key", "pct", "lo", "span", F.greatest(F.lit(1), F.expr("(pct * total + 99) div 100")).alias("rank"))
-    w = Window.partitionBy("key", "pct").orderBy("part")
-    for _ in range(levels):
-        width = F.expr(f"(span + {FANOUT - 1}) div {FANOUT}")
-        inside = salted_join(rows, state, ["key"], F.col("value"), salts).where("value >= lo and value < lo + span")
-        parts = inside.withColumn("width", width).withColumn("part", F.expr("(value - lo) div width")).groupBy("key", "pct", "part").agg(F.sum("n").alias("n"), F.first("lo").alias("lo"), F.first("width").alias("width"), F.first("rank").alias("rank"))
-        run = parts.withColumn("upto", F.sum("n").over(w))
-        state = run.where("upto >= rank and upto - n < rank").select("key", "pct", (F.col("lo") + F.col("part") * F.col("width")).alias("lo"), F.col("width").alias("span"), (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"))
-    done = state.where("span = 1").select("key", "pct", F.col("lo").alias("value"))
-    rest = salted_join(rows, state.where("span > 1"), ["key"], F.col("value"), salts).where("value >= lo and value < lo + span")
-    last = rest.groupBy("key", "pct", F.col("value").alias("part")).agg(F.sum("n").alias("n"), F.first("rank").alias("rank")).withColumn("upto", F.sum("n").over(w))
-    return direct.unionByName(done).unionByName(last.where("upto >= rank and upto - n < rank").select("key", "pct", F.col("part").alias("value")))
+    hits = []
+    for p in pcts:
+        rank = F.greatest(F.lit(1), F.expr(f"({int(p)} * total + 99) div 100"))
+        hits.append(F.when((rank <= F.col("upto")) & (rank > F.col("upto") - F.col("n")), F.lit(int(p))))
+    return placed.select("key", F.explode(F.array_compact(F.array(*hits))).alias("pct"), "value")
