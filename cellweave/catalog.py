@@ -102,8 +102,10 @@ WITH named AS (
       THEN list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(upper(t), ''), lambda c: (strpos('ACGT', c) - 1)::HUGEINT)), lambda a, b: a * 4 + b)
     WHEN regexp_full_match(t, '\+?0[xX][0-9a-fA-F]{1,16}')
       THEN list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(lower(regexp_extract(t, '0[xX](.*)', 1)), ''), lambda c: (strpos('0123456789abcdef', c) - 1)::HUGEINT)), lambda a, b: a * 16 + b)
-    WHEN regexp_full_match(t, '[+-]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)(\.[0-9]*)?([eE][+-]?[0-9]{1,2})?') AND TRY_CAST(replace(t, ',', '') AS DOUBLE) = floor(TRY_CAST(replace(t, ',', '') AS DOUBLE))
-      THEN TRY_CAST(TRY_CAST(replace(t, ',', '') AS DOUBLE) AS HUGEINT) END AS v
+    WHEN regexp_full_match(t, '[+-]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)(\.[0-9]*)?([eE][+-]?[0-9]{1,2})?') THEN list_transform(
+      [{'x': TRY_CAST(split_part(regexp_replace(replace(t, ',', ''), '[eE].*', '', 'g'), 'e', 1) AS DECIMAL(38, 12)), 'e': coalesce(TRY_CAST(nullif(regexp_extract(t, '[eE](.*)', 1), '') AS INTEGER), 0)}],
+      lambda s: CASE WHEN s.e >= 0 AND s.x * CAST(power(10, s.e) AS HUGEINT) = floor(s.x * CAST(power(10, s.e) AS HUGEINT)) THEN TRY_CAST(s.x * CAST(power(10, s.e) AS HUGEINT) AS HUGEINT)
+        WHEN s.e < 0 AND TRY_CAST(s.x AS HUGEINT) = s.x AND TRY_CAST(s.x AS HUGEINT) % CAST(power(10, -s.e) AS HUGEINT) = 0 THEN TRY_CAST(s.x AS HUGEINT) // CAST(power(10, -s.e) AS HUGEINT) END)[1] END AS v
   FROM named
 ), usable AS (
   SELECT *, row_number() OVER (PARTITION BY rec_id, field ORDER BY written_at DESC, row_no DESC) AS rn

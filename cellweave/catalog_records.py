@@ -106,7 +106,7 @@ def q_resolve_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _consistent(spark: SparkSession, d: str) -> DataFrame:
-    return consistency.find_consistent(_bus(spark, d), _genes(spark, d).classes, "names", on_missing=DROP)
+    return consistency.find_consistent(_bus(spark, d), _genes(spark, d).sets, "names", on_missing=DROP)
 
 
 def q_find_consistent(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +114,7 @@ def q_find_consistent(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_find_consistent_tx(spark: SparkSession, d: str) -> DataFrame:
-    own = consistency.find_consistent(_bus(spark, d), _transcripts(spark, d).classes, "names", on_missing=DROP)
+    own = consistency.find_consistent(_bus(spark, d), _transcripts(spark, d).sets, "names", on_missing=DROP)
     return own.select("cb", "umi", "n_records", "status", _joined("genes").alias("genes"))
 
 
@@ -123,12 +123,12 @@ def q_cell_gene_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_groupbygene(spark: SparkSession, d: str) -> DataFrame:
-    own = consistency.overlap_classes(_bus(spark, d), _genes(spark, d).classes, on_missing=DROP)
+    own = consistency.overlap_classes(_bus(spark, d), _genes(spark, d).sets, on_missing=DROP)
     return own.groupBy("cb", "umi", _joined("geneset").alias("geneset")).agg(F.sum("cnt").alias("cnt"), F.count(F.lit(1)).alias("n"))
 
 
 def _molecules(spark: SparkSession, d: str, mode: str, inconsistent: str = "ignore") -> DataFrame:
-    classes = (_transcripts if mode == "transcript" else _genes)(spark, d).classes
+    classes = (_transcripts if mode == "transcript" else _genes)(spark, d).sets
     own = consistency.count_molecules(_bus(spark, d), classes, mode, inconsistent, on_missing=DROP)
     return own.groupBy("cb", "umi", "label").agg(F.sum("cnt").alias("cnt"), F.count(F.lit(1)).alias("n"))
 

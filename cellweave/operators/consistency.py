@@ -16,8 +16,6 @@ from pyspark.sql import types as T
 from .mapping import look_up
 
 SINGLE, MULTI, NONE = "SingleGene", "Multimapped", "Inconsistent"
-#: Records from which on a molecule is folded as a stream instead of as one array.
-LONG = 10_000
 
 
 def intersection(sets: Column) -> Column:
@@ -25,21 +23,34 @@ def intersection(sets: Column) -> Column:
     return F.aggregate(F.slice(sets, 2, F.greatest(F.size(sets), F.lit(1))), F.get(sets, F.lit(0)), lambda a, s: F.array_intersect(a, s))
 
 
+def _agreed(bus: DataFrame, classes: DataFrame, values: str, keys: Sequence[str], on_missing: str) -> DataFrame:
+    """(keys..., n_records, reads, status, genes); reads is null where ``bus`` has no cnt."""
+    reads = F.col("cnt").cast("bigint") if "cnt" in bus.columns else F.lit(None).cast("bigint")
+    known = bus.where(" and ".join(f"{k} is not null" for k in keys)).select(*keys, "ec", reads.alias("c"))
+    once = known.groupBy(*keys, "ec").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c"))
+    # only the existence of a class is looked up before molecules are put together, not its set
+    once = look_up(once, classes.select("ec", F.array(F.lit(True)).alias("there")), "there", on_missing).where(F.size("there") >= 0).drop("there")
+    own = once.groupBy(*keys).agg(F.sum("n").alias("n_records"), F.sum("c").alias("reads"), F.collect_list(F.coalesce("ec", F.lit(-1))).alias("ecs"))
+    sets = classes.select(F.col("ec").alias("__ec"), F.col(values).alias("__set"))
+    empty = F.array().cast(classes.schema[values].dataType)
+    # most molecules have one class, whose set is theirs
+    one = own.where("size(ecs) = 1").withColumn("__ec", F.col("ecs")[0]).join(sets, "__ec", "left").select(*keys, "n_records", "reads", F.coalesce("__set", empty).alias("genes"))
+    many = own.where("size(ecs) > 1").select(*keys, "n_records", "reads", F.explode("ecs").alias("__ec")).join(sets, "__ec", "left")
+    many = many.groupBy(*keys, "n_records", "reads").agg(F.collect_list(F.coalesce("__set", empty)).alias("sets")).select(*keys, "n_records", "reads", intersection(F.col("sets")).alias("genes"))
+    status = F.when(F.size("genes") == 1, SINGLE).when((F.size("genes") == 0) & (F.col("n_records") > 1), NONE).otherwise(MULTI)
+    return one.unionByName(many).select(*keys, "n_records", "reads", status.alias("status"), "genes")
+
+
 def find_consistent(bus: DataFrame, classes: DataFrame, values: str = "ids", keys: Sequence[str] = ("cb", "umi"), on_missing: str = "error") -> DataFrame:
     """(keys..., n_records, status, genes) of each molecule with non-null keys.
 
-    ``genes`` is the sorted intersection. ``status`` is SingleGene if it has one element,
-    Inconsistent if it has none and there are several records, else Multimapped; so a single
-    record with an empty set is Multimapped. Records are first reduced to the distinct classes of
-    a molecule, before the shuffle, so what is folded is bounded by the number of classes.
+    ``genes`` is the intersection, in order, as the sets of ``classes`` are. ``status`` is
+    SingleGene if it has one element, Inconsistent if it has none and there are several records,
+    else Multimapped; so a single record with an empty set is Multimapped. Records are first
+    reduced to the distinct classes of a molecule, before the shuffle, so what is put together is
+    bounded by the number of classes.
     """
-    known = bus.where(" and ".join(f"{k} is not null" for k in keys)).select(*keys, "ec")
-    once = known.groupBy(*keys, "ec").agg(F.count(F.lit(1)).alias("n"))
-    sets = look_up(once, classes, values, on_missing)
-    own = sets.groupBy(*keys).agg(F.sum("n").alias("n_records"), F.collect_list(values).alias("sets"))
-    own = own.withColumn("genes", F.array_sort(intersection(F.col("sets"))))
-    status = F.when(F.size("genes") == 1, SINGLE).when((F.size("genes") == 0) & (F.col("n_records") > 1), NONE).otherwise(MULTI)
-    return own.select(*keys, "n_records", status.alias("status"), "genes")
+    return _agreed(bus, classes, values, keys, on_missing).drop("reads")
 
 
 def cell_gene_counts(consistent: DataFrame, cell: str = "cb") -> DataFrame:
@@ -48,28 +59,12 @@ def cell_gene_counts(consistent: DataFrame, cell: str = "cb") -> DataFrame:
     return one.groupBy(cell, "gene").agg(F.count(F.lit(1)).alias("n_molecules"))
 
 
-def _fold(records: Column, kind: str) -> Column:
-    """array<struct<k, c>>: records (pos, cnt, s) added one by one to the first class they overlap.
+class Intersector:
+    """Records added one by one to the first class they overlap.
 
     The class a record joins shrinks to what they share and moves to the end; a record that
     overlaps none becomes a class of its own.
     """
-    empty = F.array().cast(f"array<struct<k:{kind},c:bigint>>")
-
-    def step(acc: Column, r: Column) -> Column:
-        hit = F.filter(F.transform(acc, lambda e, i: F.when(F.arrays_overlap(e["k"], r["s"]), i)), lambda i: i.isNotNull())
-        j = F.get(hit, F.lit(0))
-        old = F.get(acc, j)
-        shared = F.struct(F.array_intersect(old["k"], r["s"]).alias("k"), (old["c"] + r["c"]).alias("c"))
-        rest = F.concat(F.slice(acc, F.lit(1), F.coalesce(j, F.lit(0))), F.slice(acc, F.coalesce(j, F.lit(0)) + 2, F.size(acc)))
-        new = F.concat(acc, F.array(F.struct(r["s"].alias("k"), r["c"].alias("c"))))
-        return F.when(j.isNull(), new).otherwise(F.concat(rest, F.array(shared)))
-
-    return F.aggregate(records, empty, step)
-
-
-class Intersector:
-    """The same fold over a stream of (set, count)."""
 
     def __init__(self) -> None:
         self.classes: list[tuple[frozenset, int]] = []
@@ -104,25 +99,27 @@ def _streamed(batches: Iterator[pa.RecordBatch], n_keys: int, schema: pa.Schema)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
-def overlap_classes(bus: DataFrame, classes: DataFrame, values: str = "names", keys: Sequence[str] = ("cb", "umi"), order: str = "pos", on_missing: str = "error", long: int = LONG) -> DataFrame:
+def overlap_classes(bus: DataFrame, classes: DataFrame, values: str = "names", keys: Sequence[str] = ("cb", "umi"), order: str = "pos", on_missing: str = "error") -> DataFrame:
     """(keys..., geneset, cnt): the classes the records of each molecule form, with the sum of their counts.
 
-    Depends on the order of records, given by ``order``. Null counts add 0. Records with an empty
-    set form classes of their own. Molecules of more than ``long`` records are folded as a stream,
-    in one task each, as the order demands, but without being held in memory.
+    Depends on the order of records, given by ``order``; equal ones are taken by count. Null counts
+    add 0. Records with an empty set form classes of their own. Where all records of a molecule are
+    of one non-empty class they are that class, in any order, and are added up before the shuffle.
+    The records of other molecules are folded as a stream, a molecule in one task, as the order
+    demands, without being held in memory.
     """
-    kind = classes.schema[values].dataType.simpleString()
-    known = bus.where(" and ".join(f"{k} is not null" for k in keys))
-    rows = look_up(known.select(*keys, "ec", order, F.coalesce(F.col("cnt"), F.lit(0)).cast("bigint").alias("c")), classes, values, on_missing)
-    rows = rows.select(*keys, F.col(order).alias("p"), "c", F.col(values).alias("s"))
-    # at most one molecule for each ``long`` records
-    big = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > long).select(*keys)
-    short = rows.join(big, list(keys), "left_anti").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("p", "c", "s"))).alias("records"))
-    out = short.select(*keys, F.explode(_fold(F.col("records"), kind)).alias("e")).select(*keys, F.array_sort("e.k").alias("geneset"), F.col("e.c").alias("cnt"))
+    known = bus.where(" and ".join(f"{k} is not null" for k in keys)).select(*keys, "ec", order, F.coalesce(F.col("cnt"), F.lit(0)).cast("bigint").alias("c"))
+    known = look_up(known, classes.select("ec", F.array(F.size(values) == 0).alias("bare")), "bare", on_missing).withColumn("bare", F.coalesce(F.get("bare", F.lit(0)), F.lit(True)))
+    ec = F.coalesce("ec", F.lit(-1))
+    per = known.groupBy(*keys).agg(F.min(ec).alias("a"), F.max(ec).alias("b"), F.max("bare").alias("bare"), F.sum("c").alias("cnt"))
+    plain = (F.col("a") == F.col("b")) & ~F.col("bare")
+    sets = classes.select(F.col("ec").alias("a"), F.col(values).alias("geneset"))
+    out = per.where(plain).join(sets, "a").select(*keys, "geneset", "cnt")
+    rest = look_up(known.drop("bare").join(per.where(~plain).select(*keys), list(keys), "left_semi"), classes, values, "empty" if on_missing == "empty" else "drop")
+    rest = rest.select(*keys, F.col(order).alias("p"), "c", F.col(values).alias("s")).repartition(*keys).sortWithinPartitions(*keys, "p", "c")
     spark_schema = T.StructType([*[bus.schema[k] for k in keys], T.StructField("geneset", classes.schema[values].dataType), T.StructField("cnt", T.LongType())])
     arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in spark_schema])
     n = len(keys)
-    rest = rows.join(big, list(keys), "left_semi").repartition(*keys).sortWithinPartitions(*keys, "p", "c")
     return out.unionByName(rest.mapInArrow(lambda it: _streamed(it, n, arrow), spark_schema))
 
 
@@ -144,14 +141,12 @@ def count_molecules(bus: DataFrame, classes: DataFrame, mode: str = "gene", inco
     if mode == "ec":
         known = bus.where("cb is not null and umi is not null and ec is not null")
         return known.groupBy("cb", "umi", F.col("ec").cast("string").alias("label")).agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("cnt"))
-    agreed = find_consistent(bus, classes, "names", on_missing=on_missing)
-    known = bus.join(classes.select("ec"), "ec", "left_semi") if on_missing == "drop" else bus
-    reads = known.groupBy("cb", "umi").agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("cnt"))
-    named = agreed.join(reads, ["cb", "umi"]).select("cb", "umi", "status", F.array_join("genes", ",").alias("label"), "cnt")
+    agreed = _agreed(bus, classes, "names", ("cb", "umi"), on_missing)
+    named = agreed.select("cb", "umi", "status", F.array_join("genes", ",").alias("label"), F.coalesce("reads", F.lit(0)).alias("cnt"))
     good = named.where(F.col("status") != NONE).select("cb", "umi", "label", "cnt")
     if inconsistent == "ignore":
         return good
     if inconsistent == "single":
         return named.select("cb", "umi", "label", "cnt")
-    split = overlap_classes(known.join(agreed.where(F.col("status") == NONE).select("cb", "umi"), ["cb", "umi"], "left_semi"), classes, "names", on_missing=on_missing)
+    split = overlap_classes(bus.join(agreed.where(F.col("status") == NONE).select("cb", "umi"), ["cb", "umi"], "left_semi"), classes, "names", on_missing=on_missing)
     return good.unionByName(split.select("cb", "umi", F.array_join("geneset", ",").alias("label"), "cnt"))

@@ -41,24 +41,37 @@ def name_key(c: Column) -> Column:
 def with_whole_number(df: DataFrame, text: str, out: str, most: Column, bases: Column) -> DataFrame:
     """``df`` with the bigint column ``out``: the one whole number 0..``most`` that ``text`` denotes; else null.
 
-    Understood are decimal digits with a sign, commas between groups of three, a fraction or an
-    exponent (if the value is whole), hexadecimal with 0x, all of it within white space or double
-    quotes, and where ``bases`` holds a sequence of 1 to 32 bases in either case, packed two bits
-    each. Values from 2**63 on are given as the signed number with the same 64 bits. More than 18
-    digits of a fraction are not understood. ``most`` is a decimal(20,0); a null ``most`` gives null.
+    Understood are decimal digits of any number with a sign, commas between groups of three, a
+    fraction or an exponent (if the value is whole), hexadecimal with 0x, all of it within white
+    space or double quotes, and where ``bases`` holds a sequence of 1 to 32 bases in either case,
+    packed two bits each. Values from 2**63 on are given as the signed number with the same 64
+    bits. ``most`` is a decimal(20,0), below 2**64; a null ``most`` gives null.
     """
     # in steps, so that no text is looked at once more for each use of what it gave
     df = df.withColumn("__t", F.regexp_replace(F.col(f"`{text}`"), r'^[\s\u00a0"]+|[\s\u00a0"]+$', ""))
-    digits = (
-        F.when(most.isNull(), None)
-        .when(bases & F.col("__t").rlike("^[ACGTacgt]{1,32}$"), F.conv(F.translate(F.upper("__t"), "ACGT", "0123"), 4, 10))
-        .when(F.col("__t").rlike(r"^[+-]?(\d{1,40}|\d{1,3}(,\d{3}){1,9})(\.\d{0,18})?([eE][+-]?\d{1,2})?$"), F.regexp_replace("__t", ",", ""))
+    number = r"^([+-]?)(\d+|\d{1,3}(?:,\d{3})+)(?:\.(\d*))?(?:[eE]([+-]?\d+))?$"
+    other = (
+        F.when(bases & F.col("__t").rlike("^[ACGTacgt]{1,32}$"), F.conv(F.translate(F.upper("__t"), "ACGT", "0123"), 4, 10))
         .when(F.col("__t").rlike(r"^\+?0[xX]0*[0-9a-fA-F]{1,16}$"), F.conv(F.regexp_extract("__t", r"0[xX]0*([0-9a-fA-F]{1,16})$", 1), 16, 10))
+    )
+    df = df.withColumn("__is", most.isNotNull() & F.col("__t").rlike(number))
+    part = lambda i: F.when(F.col("__is"), F.regexp_extract("__t", number, i))
+    df = df.withColumn("__f", F.coalesce(part(3), F.lit(""))).withColumn("__e", part(4))
+    df = df.withColumn("__m", F.ltrim(F.concat(F.regexp_replace(part(2), ",", ""), F.col("__f")), F.lit("0")))
+    # digits right of the point, once the exponent has moved it
+    right = F.length("__f") - F.when(F.col("__e") == "", 0).otherwise(F.col("__e").try_cast("int")).cast("bigint")
+    df = df.withColumn("__r", right).withColumn("__left", F.length("__m") - F.col("__r"))
+    plain = (
+        F.when(F.col("__m") == "", "0")
+        .when((F.col("__left") < 1) | (F.col("__left") > 20), None)
+        .when(F.col("__r") <= 0, F.rpad("__m", F.col("__left").cast("int"), F.lit("0")))
+        .when(F.ltrim(F.substr("__m", F.col("__left").cast("int") + 1), F.lit("0")) == "", F.substr("__m", F.lit(1), F.col("__left").cast("int")))
     )
-    df = df.withColumn("__d", digits.try_cast("decimal(38,18)"))
-    df = df.withColumn("__w", F.when((F.col("__d") >= 0) & (F.col("__d") <= most) & (F.col("__d") == F.floor("__d")), F.col("__d").try_cast("decimal(20,0)")))
+    good = (part(1) != "-") | (F.col("__m") == "")
+    digits = F.when(most.isNull(), None).when(F.col("__is"), F.when(good, plain)).otherwise(other)
+    df = df.withColumn("__w", digits.try_cast("decimal(20,0)"))
     signed = F.when(F.col("__w") >= F.expr(f"{1 << 63}BD"), F.col("__w") - F.expr(f"{1 << 64}BD")).otherwise(F.col("__w"))
-    return df.withColumn(out, signed.cast("bigint")).drop("__t", "__d", "__w")
+    return df.withColumn(out, F.when(F.col("__w") <= most, signed.cast("bigint"))).drop("__t", "__is", "__f", "__e", "__m", "__r", "__left", "__w")
 
 
 def latest_values(rows: DataFrame, entity: str, attribute: str, value: Column, order: Sequence[str]) -> DataFrame:
@@ -125,12 +138,13 @@ def widen(latest: DataFrame, fields: Sequence[Field]) -> DataFrame:
     """One row (entity, a column per field) for each non-null bigint entity of ``latest``.
 
     ``latest`` has (entity, attribute, value or v_bigint/v_double/v_string), at most one row per
-    entity and attribute (of more, any one holds). Attributes that are no field are passed over;
+    entity and attribute (of more, any one holds); a ``value`` is cast to the type of its field, and
+    is missing where it cannot be. Attributes that are no field are passed over;
     their entities keep a row. Missing values are null.
     """
     kinds = sorted({f.type for f in fields})
     if "value" in latest.columns:
-        latest = latest.withColumn(f"v_{kinds[0]}", F.col("value"))
+        latest = latest.withColumns({f"v_{k}": F.col("value").try_cast(k) for k in kinds})
     long = latest.select(F.col("entity").cast("bigint").alias("entity"), "attribute", *[F.col(f"v_{k}").cast(k).alias(f"v_{k}") for k in kinds]).where("entity is not null")
     buckets = long.repartition("entity").sortWithinPartitions("entity")
     schema = T.StructType([T.StructField("entity", T.LongType())] + [T.StructField(f.column, TYPES[f.type][2]) for f in fields])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,10 +13,21 @@ from ..plans.lineage import cut
 
 @dataclass(frozen=True)
 class Mapper:
-    """``classes``: (ec, ids, names), both arrays in order; ``names``: (id, name), ids being ranks of the names."""
+    """What classes stand for. ``sets``: (ec, names), the names in order; ids are ranks of the names and are made when asked for."""
 
-    classes: DataFrame
-    names: DataFrame
+    sets: DataFrame
+
+    @cached_property
+    def names(self) -> DataFrame:
+        """(id, name) of every name that a class stands for."""
+        return number_names(self.sets.select(F.explode("names").alias("name")), "name")
+
+    @cached_property
+    def classes(self) -> DataFrame:
+        """(ec, ids, names), both arrays in order."""
+        each = self.sets.select("ec", F.explode("names").alias("name")).join(self.names, "name")
+        ids = each.groupBy("ec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        return self.sets.join(ids, "ec", "left").select("ec", F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"), "names")
 
     def ids_of(self, ecs: DataFrame) -> DataFrame:
         """(ec, ids) for each row of ``ecs``; unknown classes give null."""
@@ -23,7 +35,7 @@ class Mapper:
 
     def names_of(self, ecs: DataFrame) -> DataFrame:
         """(ec, names) for each row of ``ecs``; unknown classes give null."""
-        return ecs.join(self.classes.select("ec", "names"), "ec", "left")
+        return ecs.join(self.sets, "ec", "left")
 
     def resolve(self, ids: DataFrame) -> DataFrame:
         """(id, name) for each row of ``ids``; unknown ids give null."""
@@ -75,9 +87,7 @@ def _with_names(matrix: DataFrame, transcripts: DataFrame, on_missing: str) -> D
 
 def _mapper(sets: DataFrame) -> Mapper:
     """From (ec, name), name null where a class has nothing."""
-    names = number_names(sets, "name")
-    found = sets.join(names, "name", "left").groupBy("ec").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.array_sort(F.collect_set("name")).alias("names"))
-    return Mapper(found, names)
+    return Mapper(sets.groupBy("ec").agg(F.sort_array(F.collect_set("name")).alias("names")))
 
 
 def gene_mapper(matrix: DataFrame, transcripts: DataFrame, t2g: DataFrame, on_missing: str = "error", on_duplicate: str = "error") -> Mapper:

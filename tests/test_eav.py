@@ -14,7 +14,8 @@ T0, T1 = datetime(2020, 1, 1), datetime(2020, 1, 2)
 NUMBERS = {
     "12": 12, " 12\t\n": 12, '"12"': 12, "+12": 12, "12.0": 12, "12.": 12, "1.2e1": 12, "1.2E+1": 12, "120e-1": 12, "0x1F": 31, "0X1f": 31, "1,234": 1234, "4,294,967,295": 4294967295,
     "4294967296": None, "-1": None, "-0": 0, "12.5": None, "1e": None, "0xZZ": None, "twelve": None, "~40": None, ">9": None, "3;4": None, "12-15": None, "1 or 2": None, "12,34": None, "1,23,456": None,
-    "": None, " ": None, "NaN": None, "null": None, "1_000": None, "--": None, "1" * 60: None, "0" * 30 + "7": 7, "1e99": None, "ACGT": None, "1.00000000000000000001": None, None: None, "x" * 100_000: None,
+    "": None, " ": None, "NaN": None, "null": None, "1_000": None, "--": None, "1" * 60: None, "0" * 30 + "7": 7, "1e99": None, "ACGT": None, "1.00000000000000000001": None, "5." + "0" * 19: 5, "12e0": 12, "1,000e-3": 1, "1,5": None, "0e99999999999": 0, "7e-99999999999": None, "0." + "0" * 40: 0, "0.00000000000000000000000000012e29": 12,
+    "4294967295" + "0" * 30 + "e-30": 4294967295, "1e9": 10**9, "1e10": None, "+0.5e1": 5, "-0.0": 0, "-0.5e1": None, "1.e1": 10, ".5e1": None, "10e-1": 1, "105e-1": None, None: None, "x" * 100_000: None,
 }
 
 
@@ -71,6 +72,11 @@ def test_widen_of_mixed_types(make, rows):
     assert rows(eav.widen(df, [Field("x", "x"), Field("y", "why", "string")])) == [(1, 1, "s"), (2, None, "t")]
 
 
+def test_widen_casts_a_plain_value_to_each_type(make, rows):
+    df = make([(1, "x", "7"), (1, "y", "2.5"), (1, "z", "t"), (2, "x", "no")], "entity bigint, attribute string, value string")
+    assert rows(eav.widen(df, [Field("x", "x"), Field("y", "y", "double"), Field("z", "z", "string")])) == [(1, 7, 2.5, "t"), (2, None, None, None)]
+
+
 @pytest.mark.parametrize("name", ["Cell Barcode", "cell_barcode", "CELL-BARCODE", " cellbarcode "])
 def test_spellings(make, name):
     assert make([(name,)], "a string").select(eav.name_key(F.col("a"))).first()[0] == "cellbarcode"
