@@ -1,99 +1,112 @@
 """Records that hold template residue, filler, error pages or demands for scripts instead of content.
 
-Three kinds of evidence are combined. (1) Detectors judge the lines of each text's parts
-(residue_rules). (2) Mismatch: the terms of title and body are compared with those of the address
-slug and the changed paths, and with the terms that are common in the corpus; a message that
-shares none of them and consists of words hardly any other record uses is filler, whatever its
-letters are. (3) Hosts: short texts without a record's layout whose title is mismatched and whose
-skeleton is served by several hosts are pages too, whatever they say.
+Three kinds of evidence are combined, none of them a list of phrases. (1) Form: placeholders,
+instructions in brackets, repetition, markup without a record (residue_rules). (2) Words: texts
+whose form tells what they are give the languages of records, pages, filler and instructions, as
+numbers of texts by word over the whole corpus; a sentence belongs to the language its words weigh
+for. Terms of the address slug and of the changed paths weigh against a page, and a message that
+shares none of them and consists of words hardly any other record uses is filler. (3) Hosts: a
+text without layout that its words leave undecided weighs the more for a page the more hosts serve
+the same. The text is read twice: for the languages, whose size is bounded, and for the verdicts.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
-from .residue_rules import ERRORS, SCRIPTS, examine, low_words, skeleton
-
-#: A word is familiar in at least, and rare in at most, these shares of the records.
-FAMILIAR, RARE = 0.004, 0.0005
-#: Words a message has at least to be called filler by its words, and shares of unfamiliar and rare ones.
-WORDS, UNFAMILIAR_SHARE, RARE_SHARE = 4, 0.7, 0.3
-#: Share of unfamiliar words in the title; a real title may stand before quoted filler.
-TITLE_SHARE = 0.5
-#: A word in this share of the records says nothing about a page's title; such words a page without a cue has at least in its title.
-PLAIN, TITLE_WORDS = 0.05, 2
-#: Hosts that serve the same page, and characters it has at most.
-HOSTS, SHORT = 3, 600
-
-_PATH = re.compile(r"^(?:diff --git a/|Index: |\+\+\+ b/)(\S+)", re.M)
-_SCHEMA = pa.schema([
-    ("uid", pa.int64()), ("doc_id", pa.int64()), ("host", pa.string()), ("kind", pa.string()), ("place", pa.string()), ("n_title", pa.int64()),
-    ("title_words", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("matched", pa.bool_()), ("page", pa.int64()), ("cue", pa.bool_()),
-])
-
-
-def _examined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    uid = TaskContext.get().partitionId() << 36
-    for batch in batches:
-        rows = []
-        for doc, host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (x.as_py() for x in batch.column(2))):
-            kind, place, p = examine(text)
-            title = sorted(set(low_words(p.title)))
-            words = sorted(set(low_words(p.body)) | set(title))
-            matched = page = None
-            cue = False
-            if not kind and words:
-                slug = set(re.findall(r"[a-z]{2,}", " ".join([p.address.split(" / ")[0], host or "", *_PATH.findall(p.diff)]).lower()))
-                matched = not slug.isdisjoint(words)
-            if p.layout in ("bare", "page") and not p.diff and text and len(text) <= SHORT:
-                page = xxhash.xxh64_intdigest(skeleton(text)) - (1 << 63)
-                cue = not kind and bool(ERRORS.search(text) or SCRIPTS.search(text))
-            rows.append((uid, doc, host, kind, place, len(title), [] if kind else title, words, matched, page, cue))
-            uid += 1
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
-
-
-def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "repo") -> DataFrame:
+from ..plans.lineage import cut, release
+from .residue_rules import RARE, SURE, Model, Tally, examine, parts_of, skeleton
+
+#: Hosts that serve the same page, at least.
+HOSTS = 3
+#: Words a task holds before it hands on its counts.
+HELD = 1 << 19
+
+_COUNTS = ("df", "record", "page", "filler", "ask")
+_FOUND = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("kind", pa.string()), ("place", pa.string()), ("score", pa.float64()), ("page", pa.int64())])
+
+
+def language_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, df, record, page, filler, ask): records a word is in, and texts of each language; the null word has those of all.
+
+    Counted within tasks before anything is shuffled. Results of any parts of a corpus, days or
+    sources, can be kept, united and added up by word.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(tally.keys(), pa.string()), *[pa.array(c, pa.int64()) for c in zip(*tally.values())]], names=["word", *_COUNTS])
+
+        for b in batches:
+            for x in b.column(0):
+                if (s := x.as_py()) and s.strip():
+                    tally.add(parts_of(s))
+            if len(tally) > HELD:
+                yield rows()
+                tally.clear()
+        if tally:
+            yield rows()
+
+    own = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(counted, "word string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+    return own.groupBy("word").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+
+
+def learn(table: DataFrame) -> Model:
+    """The model of language_counts(). Of the words only those come to the driver that are in more than RARE of the records or of the texts of pages, filler or instructions: at most 2,000 times the words of a text, whatever the number of records."""
+    table = cut(table)
+    all_ = table.where("word is null").first()
+    if all_ is None:
+        return Model({})
+    records, _, *totals = all_[1:]
+    keep = (F.col("df") > max(2, RARE * records)) | F.lit(False)
+    for c, n in zip(_COUNTS[2:], totals):
+        keep = keep | (F.col(c) > RARE * n)
+    rows = table.where(keep & F.col("word").isNotNull()).collect()
+    release(table)
+    return Model({None: tuple(all_[1:])} | {r[0]: tuple(r[1:]) for r in rows})
+
+
+def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "repo", model: Model | None = None) -> DataFrame:
     """(doc_id, kind, place, hosts) of each record that is residue; one row for each such row of ``docs``.
 
     ``kind`` is unfilled, ask (an instruction to the author), filler, error or script; ``place`` is
-    text, message or diff; ``hosts`` is the number of hosts that serve the same short text, else null.
-    Null and empty texts are none. Null hosts count as no host. Ids are bigints and may repeat.
-    In fewer than about 500 records no word is unfamiliar and filler of unknown words is not found.
+    text, message or diff; ``hosts`` is the number of hosts that serve the same text, null where it
+    is not the whole. Null and empty texts are none. Null hosts count as no host. Ids are bigints
+    and may repeat. ``model`` is that of ``docs`` if none is given. In fewer than about 500 records
+    no word is known to be rare, and filler of unknown words is not found.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{text}`").cast("string").alias("text"))
-    schema = "uid bigint, doc_id bigint, host string, kind string, place string, n_title bigint, title_words array<string>, words array<string>, matched boolean, page bigint, cue boolean"
-    seen = cut(rows.mapInArrow(_examined, schema))
-    # document frequencies over all records, of short texts without layout once for all copies of a page
-    once = seen.where("page is null").select("words").unionAll(seen.where("page is not null").groupBy("page").agg(F.min("words").alias("words")).select("words"))
-    total = once.agg(F.count(F.lit(1)).alias("n")).scalar()
-    counts = once.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    # at most (words of a record) / RARE words: some 100,000 of a few bytes, whatever the size of the corpus
-    common = cut(counts.where((F.col("df") > F.lit(RARE) * total) & (F.col("df") > 2)))
-    familiar = F.broadcast(common.where(F.col("df") >= F.lit(FAMILIAR) * total).select("word", (F.col("df") >= F.lit(PLAIN) * total).alias("plain")))
-    open_ = seen.where("kind = '' and size(words) > 0 and not matched")
-    marked = open_.select("uid", F.explode("words").alias("word"), "title_words").join(familiar, "word", "left")
-    plain = marked.where("plain and array_contains(title_words, word)").groupBy("uid").agg(F.count(F.lit(1)).alias("n_plain"))
-    # hot words are gone by now: each one left is in less than FAMILIAR of the records
-    rare = marked.where("plain is null").join(common.select("word", F.lit(1).alias("known")), "word", "left")
-    shares = rare.groupBy("uid").agg(F.count(F.lit(1)).alias("n_strange"), F.sum(F.col("known").isNull().cast("int")).alias("n_rare"), F.sum(F.array_contains("title_words", F.col("word")).cast("int")).alias("n_strange_title"))
-    pages = seen.where("page is not null").groupBy("page", "host").agg(F.count(F.lit(1)).alias("n")).groupBy("page").agg(F.count("host").alias("hosts"))
-    judged = open_.drop("title_words").join(shares, "uid").join(plain, "uid", "left").join(pages, "page", "left")
-    salad = (F.size("words") >= WORDS) & (F.col("n_strange") >= F.lit(UNFAMILIAR_SHARE) * F.size("words")) & (F.col("n_rare") >= F.lit(RARE_SHARE) * F.size("words")) & (F.col("n_strange_title") >= F.lit(TITLE_SHARE) * F.col("n_title"))
-    telling = F.col("n_title") - F.coalesce("n_plain", F.lit(0))
-    served = (F.col("hosts") >= HOSTS) & (F.col("cue") | (F.col("n_strange_title") >= TITLE_WORDS)) & (F.col("n_strange_title") >= F.lit(TITLE_SHARE) * telling) & (F.col("n_strange_title") > 0)
-    late = judged.withColumn("kind", F.when(served, "error").when(salad, "filler")).where("kind is not null").withColumn("place", F.when(F.col("kind") == "error", "text").otherwise("message"))
-    sure = seen.where("kind <> ''").join(pages, "page", "left")
-    return sure.select("doc_id", "kind", "place", "hosts").unionByName(late.select("doc_id", "kind", "place", "hosts"))
+    content = docs.sparkSession.sparkContext.broadcast(model or learn(language_counts(rows)))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = content.value
+        for b in batches:
+            out = []
+            for doc, own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (x.as_py() for x in b.column(2))):
+                if not text or not text.strip():
+                    continue
+                v = examine(parts_of(text), own, m)
+                whole = v.place == "text" or not v.kind and v.score is not None
+                if v.kind or whole:
+                    out.append((doc, own, v.kind, v.place, v.score, xxhash.xxh64_intdigest(skeleton(text)) - (1 << 63) if whole else None))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _FOUND)], schema=_FOUND)
+
+    # of the corpus only what is residue or may be is left
+    seen = cut(rows.mapInArrow(found, "doc_id bigint, host string, kind string, place string, score double, page bigint"))
+    pages = seen.where("page is not null").groupBy("page", "host").agg(F.lit(1).alias("n")).groupBy("page").agg(F.count("host").alias("hosts"))
+    whole = seen.where("page is not null").join(pages, "page")
+    served = F.col("kind").isin("", "filler") & (F.col("hosts") >= HOSTS) & (F.col("score") + 2 * F.log(F.greatest("hosts", F.lit(1)).cast("double")) > SURE)
+    whole = whole.where(served | (F.col("kind") != "")).select("doc_id", F.when(served, "error").otherwise(F.col("kind")).alias("kind"), F.when(served, "text").otherwise(F.col("place")).alias("place"), "hosts")
+    parts = seen.where("page is null").select("doc_id", "kind", "place", F.lit(None).cast("bigint").alias("hosts"))
+    return whole.unionByName(parts)
 
 
 def without_residue(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
