@@ -36,16 +36,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_local}"
 
 
+def scratch(spark: SparkSession, suffix: str = "") -> str:
+    """A path in the shared folder for a file or folder of one's own; deleted as those of cuts are."""
+    path = f"{shared_folder(spark)}/cellweave/{uuid.uuid4().hex}{suffix}"
+    if not _made:
+        atexit.register(release_all)
+    _made[path] = spark
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once, written to the shared folder and read from there.
 
     Its files stay until release(), release_all() or the end of the driver's process.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cellweave/{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(release_all)
-    _made[path] = spark
+    path = scratch(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path  # type: ignore[attr-defined]

@@ -23,7 +23,7 @@ def test_golden_bytes(spark, tmp_path):
     rows = [(1, 1, 1, 3, 0), (0, 1, 1, 3, 0)]
     assert hashlib.md5(Header("plain", 16, 12).to_bytes() + encode(columns(rows))).hexdigest() == "3b49ecec15ae50a3cf2b7cfd37441ea1"
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"pos bigint, {SCHEMA}")
-    bus_source.write_bus(df, f"{tmp_path}/x.bus")
+    bus_source.write_bus(df, f"{tmp_path}/x.bus", layout="file")
     assert hashlib.md5((tmp_path / "x.bus").read_bytes()).hexdigest() == "3b49ecec15ae50a3cf2b7cfd37441ea1"
 
 
@@ -106,12 +106,12 @@ def data(n):
 
 
 @pytest.mark.parametrize("suffix", ["bus", "busz"])
-@pytest.mark.parametrize("block", ["2", "97"])
-def test_files(spark, tmp_path, suffix, block):
+@pytest.mark.parametrize(("block", "last"), [("2", "parts"), ("97", "file")])
+def test_files(spark, tmp_path, suffix, block, last):
     rows, path = data(700), f"{tmp_path}/x.{suffix}"
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"pos bigint, {SCHEMA}").repartition(5)
-    bus_source.write_bus(df, path, 16, 12, block=block)
-    bus_source.write_bus(df, path, 16, 12, block=block)  # replaces it
+    for layout in ("file", "parts", "parts", "file", "file", last):  # each replaces what is there
+        bus_source.write_bus(df, path, 16, 12, block=block, layout=layout)
     back = bus_source.read_bus(spark, path, rows="50")
     assert back.rdd.getNumPartitions() > 5
     assert [tuple(r)[:5] for r in back.orderBy("pos").collect()] == rows
@@ -122,9 +122,9 @@ def test_conversion_partial_files_and_parts(spark, tmp_path):
     rows = data(300)
     df = spark.createDataFrame(rows, SCHEMA)
     a, b, c, d = (f"{tmp_path}/{n}" for n in ("a.bus", "b.busz", "c.bus", "parts"))
-    bus_source.write_bus(df, a, 10, 9)
+    bus_source.write_bus(df, a, 10, 9, layout="file")
     bus_source.convert(spark, a, b, block="64")
-    bus_source.convert(spark, b, c)
+    bus_source.convert(spark, b, c, layout="file")
     assert open(a, "rb").read() == open(c, "rb").read()
     bus_source.write_head(spark, a, c, 10)
     assert [tuple(r)[:5] for r in bus_source.read_bus(spark, c).orderBy("pos").collect()] == sorted(rows)[:10]
@@ -132,10 +132,33 @@ def test_conversion_partial_files_and_parts(spark, tmp_path):
     assert [tuple(r)[:5] for r in bus_source.read_bus(spark, d).orderBy("CB", "UMI").collect()] == sorted(rows)
 
 
+def test_compressed_files_without_an_index(spark, tmp_path):
+    """They are read by a task each, in order; the index of a path can be made in tasks, and counts from 0 again."""
+    import glob
+    import os
+
+    rows, path = data(300), f"{tmp_path}/x.busz"
+    bus_source.write_bus(spark.createDataFrame(rows, SCHEMA).repartition(3), path, block="10")
+    made = {f: open(f, "rb").read() for f in glob.glob(f"{path}/*.idx")}
+    for f in made:
+        os.remove(f)
+    plain = bus_source.read_bus(spark, path, rows="20")
+    assert [tuple(r)[:5] for r in plain.orderBy("pos").collect()] == sorted(rows)
+    assert {r.end for r in bus_source.plan(path, {"rows": "20"})} == {-1}
+    bus_source.index_files(spark, path)
+    assert {f: open(f, "rb").read() for f in glob.glob(f"{path}/*.idx")} == made
+    back = bus_source.read_bus(spark, path, rows="20")
+    assert [r.pos for r in back.orderBy("pos").collect()] == list(range(300)) and len(bus_source.plan(path, {"rows": "20"})) >= 15
+    # an index that is not of the file is not used
+    for f in made:
+        open(f, "ab").write(bus_source.pack_index([(7, 7)]))
+    assert bus_source.read_bus(spark, path).count() == 300
+
+
 def test_files_held_as_bytes(spark, tmp_path):
     rows = data(200)
     for name in ("a.bus", "b.busz"):
-        bus_source.write_bus(spark.createDataFrame(rows, SCHEMA), f"{tmp_path}/{name}", block="32")
+        bus_source.write_bus(spark.createDataFrame(rows, SCHEMA), f"{tmp_path}/{name}", block="32", layout="file")
     files = spark.read.format("binaryFile").load([f"{tmp_path}/a.bus", f"{tmp_path}/b.busz"])
     got = bus_source.read_bytes(files.unionByName(files.limit(1).selectExpr("path", "modificationTime", "length", "cast(null as binary) as content")))
     for name in ("a.bus", "b.busz"):
