@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -44,7 +45,7 @@ LOREM = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod t
 #: Customary instructions.
 ASKS = "describe the change here|enter a description here|insert a summary here|write a message here|replace this line with a title|your message here|todo explain why"
 #: Names of scripts, in several writings.
-SCRIPT = re.compile(r"java ?script|\bjs\b|script|client-side code|скрипт|スクリプト", re.I)
+SCRIPT = re.compile(r"script|\bjs\b|скрипт|スクリプト", re.I)
 #: Rows of a keyboard.
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 
@@ -245,8 +246,8 @@ def keys_in_a_row(word: str) -> bool:
 
 def degenerate(words: list[str]) -> bool:
     """One word or a few over and over, or keys hit in a row."""
-    n, kinds = len(words), len(set(words))
-    if n >= 3 and kinds == 1 or n >= 6 and 3 * kinds <= n or n >= 4 and 5 * max(map(words.count, set(words))) >= 3 * n:
+    seen, n = Counter(words), len(words)
+    if n >= 3 and len(seen) == 1 or n >= 6 and 3 * len(seen) <= n or n >= 4 and 5 * max(seen.values()) >= 3 * n:
         return True
     return n > 0 and 4 * sum(map(keys_in_a_row, words)) >= 3 * n
 
@@ -388,8 +389,6 @@ class Model:
         return sum(w.get(x, 0.0) for x in words)
 
 
-
-
 # --- verdicts --------------------------------------------------------------------------------
 
 #: Weight from which on words tell a language, and below which (negative) a sentence is content. Twice as much is

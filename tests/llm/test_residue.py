@@ -232,7 +232,7 @@ def test_a_long_word_in_a_notice(examine, size):
         assert examine(text.format("a/" * (size // 2)))[0] == kind
 
 
-@pytest.mark.parametrize("text", ["a  " * 40_000 + "!", "file/" * 20_000, "サーバー" * 20_000, "js/" * 20_000, "qwerty" * 20_000 + "zzz", "__a" + "_" * 90_000 + "b", "a" + " " * 90_000 + "b", "« " * 40_000, '{"message": ' + "[" * 100_000])
+@pytest.mark.parametrize("text", ["a  " * 40_000 + "!", "file/" * 20_000, "サーバー" * 20_000, "js/" * 20_000, "qwerty" * 20_000 + "zzz", "__a" + "_" * 90_000 + "b", "a" + " " * 90_000 + "b", "« " * 40_000, " ".join(f"w{i}" for i in range(60_000)), "'a " * 60_000, '{"message": ' + "[" * 100_000])
 def test_long_lines_cost_little(examine, text):
     start = time.process_time()
     examine(text)
