@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.lineage import cut
 from .mapping import look_up
 
 SINGLE, MULTI, NONE = "SingleGene", "Multimapped", "Inconsistent"
@@ -142,6 +143,8 @@ def count_molecules(bus: DataFrame, classes: DataFrame, mode: str = "gene", inco
         known = bus.where("cb is not null and umi is not null and ec is not null")
         return known.groupBy("cb", "umi", F.col("ec").cast("string").alias("label")).agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("cnt"))
     agreed = _agreed(bus, classes, "names", ("cb", "umi"), on_missing)
+    if inconsistent == "distinct":  # read twice below
+        agreed = cut(agreed)
     named = agreed.select("cb", "umi", "status", F.array_join("genes", ",").alias("label"), F.coalesce("reads", F.lit(0)).alias("cnt"))
     good = named.where(F.col("status") != NONE).select("cb", "umi", "label", "cnt")
     if inconsistent == "ignore":

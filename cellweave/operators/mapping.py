@@ -13,9 +13,14 @@ from ..plans.lineage import cut
 
 @dataclass(frozen=True)
 class Mapper:
-    """What classes stand for. ``sets``: (ec, names), the names in order; ids are ranks of the names and are made when asked for."""
+    """What classes stand for: ``made`` is (ec, names), the names in order. Everything is made when asked for, and once."""
 
-    sets: DataFrame
+    made: DataFrame
+
+    @cached_property
+    def sets(self) -> DataFrame:
+        """(ec, names), written once: molecules look classes up several times."""
+        return cut(self.made)
 
     @cached_property
     def names(self) -> DataFrame:
@@ -24,7 +29,7 @@ class Mapper:
 
     @cached_property
     def classes(self) -> DataFrame:
-        """(ec, ids, names), both arrays in order."""
+        """(ec, ids, names), both arrays in order; ids are ranks of the names."""
         each = self.sets.select("ec", F.explode("names").alias("name")).join(self.names, "name")
         ids = each.groupBy("ec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
         return self.sets.join(ids, "ec", "left").select("ec", F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"), "names")
