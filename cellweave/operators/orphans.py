@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from ..plans.salting import salted_join
 
 DAY_US, MINUTE_US = 86_400_000_000, 60_000_000
@@ -91,10 +92,10 @@ def orphan_references(children: Sequence[Child], parents: Sequence[Parent]) -> D
     """
     refs, bounds = _references(children), _bounds(parents)
     # what changes when: at most two rows for each parent row
-    day, minute = (_changed(bounds, grain) for grain in (DAY_US, MINUTE_US))
+    day, minute = (cut(_changed(bounds, grain)) for grain in (DAY_US, MINUTE_US))
     rows = refs
     for name, grain, changed in (("__day", DAY_US, day), ("__minute", MINUTE_US, minute)):
-        rows = salted_join(rows.withColumn(name, _start(grain)), changed.withColumnRenamed("start", name).withColumn(f"{name}_changes", F.lit(True)), ["parent", "key", name], F.col("t"), how="left")
+        rows = salted_join(rows.withColumn(name, _start(grain)), changed.withColumnRenamed("start", name).withColumn(f"{name}_changes", F.lit(True)), ["parent", "key", name], F.col("t"), changed.count(), how="left")
     slot = F.when(F.col("__day_changes").isNull(), F.col("__day")).when(F.col("__minute_changes").isNull(), F.col("__minute")).otherwise(F.col("t"))
     own = rows.groupBy("parent", "key", "child", slot.alias("t")).agg(F.count(F.lit(1)).alias("n")).withColumn("delta", F.lit(0).cast("bigint")).withColumn("changes", F.lit(0).cast("bigint"))
     edge = bounds.groupBy("parent", "key", "t").agg(F.sum("delta").alias("delta"), F.count(F.lit(1)).alias("changes")).withColumn("child", F.lit(None).cast("string")).withColumn("n", F.lit(0).cast("bigint"))
