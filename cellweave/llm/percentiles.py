@@ -59,15 +59,16 @@ def percentiles(counts: DataFrame, pcts: Sequence[int], min_rows: int = 1, salts
     sizes = counts.groupBy("key").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("left")).where(F.col("total") >= min_rows)
     # a range is named by the least of the percentiles it holds; ranks count within the range
     ranges = cut(sizes.select("key", F.lit(int(min(pcts))).alias("seg"), "left", wanted.alias("ranks")))
-    rows = cut(salted_join(counts, ranges.drop("ranks"), ["key"], F.col("value"), salts))
+    open_ = ranges.count()
+    rows = cut(salted_join(counts, ranges.drop("ranks"), ["key"], F.col("value"), open_, salts))
     release(counts)
     found = []
-    while not rows.isEmpty():
+    while open_:
         part = F.pmod(F.xxhash64("value"), parts_of(F.col("left")))
         medians = _weighted_median(rows.select("key", "seg", part.alias("part"), "value", "n"), ["key", "seg", "part"], "value")
         proposals = medians.groupBy("key", "seg", F.col("value").alias("pivot")).agg(F.sum("weight").alias("n"))
         pivots = _weighted_median(proposals, ["key", "seg"], "pivot").drop("weight").join(ranges.select("key", "seg", "ranks"), ["key", "seg"])
-        three = salted_join(rows, pivots, ["key", "seg"], F.col("value"), salts)
+        three = salted_join(rows, pivots, ["key", "seg"], F.col("value"), open_, salts)
         below, above = F.col("value") < F.col("pivot"), F.col("value") > F.col("pivot")
         three = three.groupBy("key", "seg", "pivot").agg(
             F.first("ranks").alias("ranks"),
@@ -82,12 +83,13 @@ def percentiles(counts: DataFrame, pcts: Sequence[int], min_rows: int = 1, salts
         )
         found.append(split.select("key", F.explode("hit.pct").alias("pct"), F.col("pivot").alias("value")))
         sides = split.where("size(low) + size(high) > 0").select("key", "seg", "pivot", "n_less", "n_more", F.get("low", F.lit(0))["pct"].alias("low"), F.get("high", F.lit(0))["pct"].alias("high"))
-        kept = salted_join(rows.select("key", "seg", "value", "n"), sides, ["key", "seg"], F.col("value"), salts)
+        kept = salted_join(rows.select("key", "seg", "value", "n"), sides, ["key", "seg"], F.col("value"), open_, salts)
         down = F.col("value") < F.col("pivot")
         kept = kept.select("key", F.when(down, F.col("low")).when(F.col("value") > F.col("pivot"), F.col("high")).alias("seg"), "value", "n", F.when(down, F.col("n_less")).otherwise(F.col("n_more")).alias("left"))
         last, rows = rows, cut(kept.where("seg is not null"))
         release(last)
         ranges = split.select("key", F.explode(F.array("low", "high")).alias("ranks")).where("size(ranks) > 0").select("key", F.col("ranks")[0]["pct"].alias("seg"), "ranks")
+        open_ = ranges.count()
     release(rows)
     if not found:
         return counts.sparkSession.createDataFrame([], f"key {counts.schema['key'].dataType.simpleString()}, pct int, value bigint")

@@ -69,3 +69,11 @@ def test_parts_grow_with_the_root(spark):
 
     left = spark.createDataFrame([(n,) for n in (1, 2, 32, 10_000, 10**12)], "left bigint")
     assert [r[0] for r in left.select(P.parts_of(F.col("left"))).collect()] == [1, 2, 6, 100, 10**6]
+
+
+def test_many_groups_are_looked_up_without_a_broadcast(make, monkeypatch):
+    from cellweave.plans import salting
+
+    monkeypatch.setattr(salting, "BROADCAST_ROWS", 0)
+    data = [(k, k * i % 17) for k in range(12) for i in range(20)]
+    assert run(make, data, (50, 99)) == brute(data, (50, 99))
