@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut
 from ..plans.salting import salted_join
 
-#: Ranges of draws for each doubling, and parts of a range.
-OCTAVE, PARTS = 16, 1 << 16
+#: Ranges of draws for each doubling; ranges in all, and parts of a range, at most.
+OCTAVE, PARTS = 16, 1 << 12
 
 
 def quality_weight() -> Column:
@@ -50,7 +50,8 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, total: int | None = None, hol
     plan = plan.withColumn("budget", F.floor("want"))
     plan = plan.withColumn("epochs", F.when(F.col("available") > 0, F.least(F.col("max_repeats"), F.expr("budget div available"))).otherwise(0))
     rest = F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("available")).otherwise(0)
-    return plan.withColumn("rest", F.when(F.col("available") > 0, rest).otherwise(0)).drop("want")
+    # a row for each target, read several times
+    return cut(plan.withColumn("rest", F.when(F.col("available") > 0, rest).otherwise(0)).drop("want"))
 
 
 def mix(sizes: DataFrame, plan: DataFrame, record: str, weight: Column | None = None, seed: int = 0) -> DataFrame:
@@ -62,16 +63,18 @@ def mix(sizes: DataFrame, plan: DataFrame, record: str, weight: Column | None =
     u = (F.pmod(F.xxhash64(F.col(record).cast("string"), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     rows = sizes.withColumn("w", weight if weight is not None else quality_weight())
     rows = rows.select(F.col(record).alias("record"), "source", "n_tokens", (-F.log(u) / F.col("w")).alias("draw"))
-    # ranges of the draws' logarithm: some hundreds, each with a few percent of a source, and parts of a range
-    rows = rows.withColumn("z", F.log2("draw") * OCTAVE).withColumn("range", F.floor("z").cast("int")).withColumn("part", F.floor((F.col("z") - F.floor("z")) * PARTS).cast("int")).drop("z")
+    # ranges of the draws' logarithm, each with a few percent of a source, and parts of a range; draws more than
+    # 128 doublings from 1, which only weights as far apart can give, lie in the first and last range, in one part
+    rows = rows.withColumn("z", F.log2("draw") * OCTAVE).withColumn("at", F.floor("z")).withColumn("range", F.greatest(F.lit(-PARTS // 2), F.least(F.lit(PARTS // 2 - 1), F.col("at"))).cast("int"))
+    rows = rows.withColumn("part", F.when(F.col("at") == F.col("range"), F.floor((F.col("z") - F.col("at")) * PARTS)).otherwise(0).cast("int")).drop("z", "at")
     limits = plan.select("source", "epochs", "rest", F.lit(0).cast("bigint").alias("base"))
-    taken, open_ = [], rows
+    taken, open_, most = [], rows, plan.count() * PARTS
     for level in ("range", "part"):
-        # a row for each source; its ranges and the parts of one of them are at most PARTS
+        # a row for each source and range, or part of its one open range: at most PARTS of each source
         steps = open_.groupBy("source", level).agg(F.sum("n_tokens").alias("size")).join(limits, "source")
         upto = F.col("base") + F.sum("size").over(Window.partitionBy("source").orderBy(level))
         steps = steps.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("size")).drop("size", "base")
-        marked = salted_join(open_, steps, ["source", level], F.col("record"))
+        marked = salted_join(open_, steps, ["source", level], F.col("record"), most)
         more = F.when((F.col("rest") > 0) & (F.col("upto") <= F.col("rest")), 1).otherwise(0)
         edge = (F.col("rest") > 0) & (F.col("before") < F.col("rest")) & (F.col("upto") > F.col("rest"))
         taken.append(marked.where(~edge).select("record", "source", "n_tokens", (F.col("epochs") + more).alias("copies")))

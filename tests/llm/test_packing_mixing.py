@@ -164,6 +164,21 @@ def test_budgets_hold_for_weights_of_any_scale(make):
     assert abs(got["s"] - 0.25 * 32_999) <= 10 and got["t"] <= 0.05 * 32_999 + 500
 
 
+def test_weights_beyond_all_ranges_and_without_a_broadcast(make, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from cellweave.plans import salting
+
+    docs = [(i, "s", 10, 1) for i in range(900)]
+    sizes, goal = make(docs, SIZES), make([("s", 0.25, 1)], "source string, target_share double, max_repeats bigint")
+    weight = F.when(F.col("doc_id") % 3 == 0, 1e60).when(F.col("doc_id") % 3 == 1, 1.0).otherwise(1e-60)
+    plan = mixing.mix_plan(sizes, goal)
+    got = sorted(r.doc_id for r in mixing.mix(sizes, plan, "doc_id", weight).collect())
+    assert len(got) in (225, 226) and all(i % 3 == 0 for i in got)
+    monkeypatch.setattr(salting, "BROADCAST_ROWS", 0)
+    assert sorted(r.doc_id for r in mixing.mix(sizes, plan, "doc_id", weight).collect()) == got
+
+
 def test_mix_of_nothing(make):
     assert mixed(make, [], [("s", 1.0, 2)])[2].collect() == []
     assert mixed(make, [(1, "s", 3, 3)], [])[2].collect() == []
