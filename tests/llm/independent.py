@@ -37,3 +37,14 @@ CONTENT = [
     mail("Retry the call when the server took too long", "Without this the import stops with 504."), mail("docs: describe how to write a summary"), mail("Document the error page", "The page says that the project is private or was removed."), git("Behebt einen Fehler beim Laden der Liste"), git("Corrige la carga de la tabla"), git("Ajoute un test pour le chargement"), git("Show \"404 Not found\" in the title"), git("Log of the failed run:\n  500 Internal Server Error\n  500 Internal Server Error"), '{"repo": "a/b", "sha": "1", "message": "Speed up the queue", "patch": ""}', git("Fix the title of the error page\n\nIt was 'Not found' for every status."),
     git("Speed up the queue", "Binary files a/x.png and b/x.png differ"), git("test: cover the gateway timeout"), git("Sign in again after the token has expired"), git("Enable scripts in the build only when asked"), git("Drop the 'coming soon' text"), git("Add test data\n\nfoo, bar and baz are the users of the test."), git("CRLF to LF"), git("Reformat"), git("More work on the queue"), git("Address review comments"),
 ]
+
+#: A second set, written after the rules were final and measured once; nothing was changed for it.
+LAST_RESIDUE = [
+    "Oops! That branch does not exist.", "The requested URL was not found on this server.", "403 Forbidden\n\nYou may not look at this commit.", "Service is under maintenance, please come back in an hour.", '{"status": "error", "message": "The project could not be found"}', "<html><head><title>Error 500</title></head><body><p>Something went wrong on the server.</p></body></html>",
+    "OtherHub\n\nExplore | Help | Sign in\n\nThis commit is not available any more.\n\n(c) OtherHub 2022", "Your browser does not run scripts, so nothing can be shown.", "<div>Please allow JavaScript for this site.</div>", "You need JavaScript to browse the changes.", mail("Sort the list of keys", "The order was random.", "Error 404: the patch could not be found"), git("Sort the list of keys", "JavaScript must be enabled to load the diff."), git("Sort the list of keys", "<p>Sign in to see the diff</p>"),
+    git("<%= title %>\n\n<%= body %>"), git("Release %(version)s\n\n%(notes)s"), mail("{SUBJECT}", "{DESCRIPTION}"), git("undefined: undefined"), git("Merge branch '${source}' into ${target}"), git("<Short title of the change>\n\n<Reason>"), git("[describe what was done]\n\n[describe how it was tested]"), git("Enter a title here\n\n- [explain the reason]"), git("lorem ipsum dolor sit amet consectetur"), git("text text text text\n\ntext text text"), git("jkl jkl asd asd\n\nqwe rty uio"),
+]
+LAST_CONTENT = [
+    git("Return 404 for branches that do not exist"), git("Explain in the help why scripts are needed"), git("Log the error when the server is down\n\nSo far it was lost."), git("Quote the title in the mail"), git("Use %(name)s instead of %s in messages"), git("Fix {title} not being replaced"), git("Move the sign in button"), git("Test the case of an empty message"), git("Do not crash on undefined values"), git("Describe the options in the manual"), git("Add missing translations"), git("bump version"), git("oops"), git("cleanup", ""), "more fixes", "Merge tag 'v1.2'", "Rename the module\n\nThe old name was too long.",
+    mail("Make the summary shorter"), mail("Stop after three retries", "The gateway answers 502 for minutes."), git("Corrige el orden de las claves"), git("Sortiert die Liste der Namen neu"), git("Say \"not found\" only once"), '{"repo": "a/b", "sha": "2", "message": "Sort the list of keys", "patch": ""}', git("Remove dummy users from the demo"),
+]

@@ -5,8 +5,7 @@ import time
 import pyarrow.parquet as pq
 import pytest
 
-from independent import CONTENT as OTHER_CONTENT
-from independent import RESIDUE as OTHER_RESIDUE
+import independent
 from pyspark.sql import functions as F
 
 from cellweave.llm import residue
@@ -169,12 +168,12 @@ def test_apostrophes_between_letters_quote_nothing(examine, text):
     assert examine(f"'{text}'")[0] == ""
 
 
-def test_texts_of_other_wordings(examine):
+@pytest.mark.parametrize(("own", "other"), [(independent.RESIDUE, independent.CONTENT), (independent.LAST_RESIDUE, independent.LAST_CONTENT)])
+def test_texts_of_other_wordings(examine, own, other):
     """Recall and precision on texts written without regard to the test data, with the languages of those."""
-    found = [t for t in OTHER_RESIDUE if examine(t)[0]]
-    wrong = [t for t in OTHER_CONTENT if examine(t)[0]]
-    assert len(OTHER_RESIDUE) > 45 and len(OTHER_CONTENT) > 45
-    assert len(found) >= 0.9 * len(OTHER_RESIDUE) and len(found) >= 0.9 * (len(found) + len(wrong))
+    found = [t for t in own if examine(t)[0]]
+    wrong = [t for t in other if examine(t)[0]]
+    assert len(found) >= 0.9 * len(own) and len(found) >= 0.9 * (len(found) + len(wrong))
 
 
 def test_languages_of_parts_of_a_corpus_add_up(make, spark, model):
