@@ -2,9 +2,10 @@
 
 Bits are filled from the highest of each word; words are little-endian, of 64 bits, for EC of 32.
 CB, UMI, COUNT and FLAG are run-length coded and written in Fibonacci code. EC is written in
-blocks of 512 numbers with a common bit width and patched exceptions; its bit layout is
-this module's own, as the public description leaves it open, and is only known to read what this
-module writes.
+blocks of 512 numbers with a common bit width and patched exceptions: Fibonacci codes of the width,
+the least number, the number of exceptions and the gaps between their places, all plus 1, and of
+their high bits, filled up to 32 bits, then the low bits of all 512. No file of another program was
+at hand to check this layout; it is only known to read what this module writes.
 """
 
 from __future__ import annotations
@@ -163,7 +164,7 @@ def pfd_encode(values: np.ndarray) -> bytes:
         width = int(np.sort(rest)[int(0.9 * (len(rest) - 1))]).bit_length()  # nine of ten fit
         high = rest >> np.uint64(width)
         odd = np.flatnonzero(high)
-        gaps = np.diff(np.r_[-1, odd]).astype(np.uint64)
+        gaps = np.diff(np.r_[0, odd]).astype(np.uint64) + np.uint64(1)
         head = np.r_[np.array([width + 1, int(least) + 1, len(odd) + 1], np.uint64), gaps, high[odd]]
         out.append(to_words(fib_encode(head), 4))
         low = np.zeros(PFD_BLOCK, np.uint64)
@@ -191,7 +192,7 @@ def pfd_decode(raw: bytes, n: int) -> tuple[np.ndarray, int]:
             low = bits.astype(np.uint64) @ (np.uint64(1) << np.arange(width - 1, -1, -1).astype(np.uint64))
             at += n_bytes
         if n_odd:
-            odd = np.cumsum(gaps.astype(np.int64)) - 1
+            odd = np.cumsum(gaps.astype(np.int64) - 1)
             low[odd] += high << np.uint64(width)
         out[i : i + size] = low + np.uint64(least)
     return out, at

@@ -77,6 +77,17 @@ def test_fibonacci_round_trip(v):
     assert back.tolist() == v
 
 
+def test_patched_block_by_hand():
+    """Two exceptions of 16 numbers from 5 to 8: width 2, least 5; 5 + 4 * 3 at place 3 and 6 + 4 * 1 at place 7."""
+    v = [5, 6, 7, 17, 8, 5, 6, 10, *[5] * 22]
+    raw = blocks.pfd_encode(np.array(v, np.uint64))
+    head, ends = blocks.fib_decode(blocks.from_words(raw, 4), 7)
+    assert head.tolist() == [2 + 1, 5 + 1, 2 + 1, 3 + 1, 4 + 1, 3, 1]
+    start = -(-int(ends[6]) // 32) * 4
+    low = blocks.from_words(raw[start:], 4)[:16].reshape(8, 2).tolist()
+    assert len(raw) - start == 512 * 2 // 8 and [2 * a + b for a, b in low] == [0, 1, 2, 0, 3, 0, 1, 1]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 9), st.integers(0, 2**32 - 1)), max_size=1100))
 def test_patched_round_trip(v):
