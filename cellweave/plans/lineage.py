@@ -59,8 +59,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    jvm, context = spark._jvm, spark.sparkContext._jsc
+    conf = context.hadoopConfiguration() if context is not None else jvm.org.apache.hadoop.conf.Configuration()  # null once stopped
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
     _made.pop(path, None)
 
 
@@ -76,5 +78,5 @@ def release_all() -> None:
     for path, spark in list(_made.items()):
         try:
             _delete(spark, path)
-        except Exception:  # a session that has ended; its folder is the cluster's to clean
+        except Exception:  # the driver's JVM is gone; its folder is the cluster's to clean
             _made.pop(path, None)

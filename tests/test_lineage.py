@@ -1,0 +1,44 @@
+"""Cuts read what was written, and leave nothing behind."""
+
+import os
+
+import pytest
+
+from cellweave.plans import lineage
+
+
+def folder_of(df):
+    return df._cut_path.removeprefix("file://").removeprefix("file:")
+
+
+def test_cuts_are_whole_and_go(spark, make, rows):
+    df = make([(1, None, [1, 2]), (None, "b", []), (3, "c", None)], "a bigint, b string, c array<bigint>")
+    first, second = lineage.cut(df), lineage.cut(make([], "a bigint"))
+    assert rows(first) == rows(df) and first.schema == df.schema and rows(second) == []
+    assert os.path.isdir(folder_of(first))
+    lineage.release(first, None, df)
+    assert not os.path.exists(folder_of(first)) and os.path.isdir(folder_of(second))
+    lineage.release_all()
+    assert not os.path.exists(folder_of(second)) and not lineage._made
+
+
+def test_paths_of_ones_own_go_too(spark):
+    path = lineage.scratch(spark, ".bus").removeprefix("file://")
+    os.makedirs(path)
+    lineage.release_all()
+    assert not os.path.exists(path)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        lineage.shared_folder(Session())
