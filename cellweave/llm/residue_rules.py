@@ -106,6 +106,8 @@ def _strings(x: object) -> Iterator[str]:
             yield str(v)
 
 
+#: A line that is neither empty nor indented as those of a message.
+_OUTSIDE = re.compile(r"^(?!    )(?=.)", re.M)
 _TAG = re.compile(r"<[^<>]*>")
 _MARKUP = re.compile(r"\s*<[!?a-zA-Z][^<>]*>")
 #: Tags that hold a word or a phrase within a sentence.
@@ -126,14 +128,9 @@ def parts_of(text: str) -> Parts:
         return Parts("page", shown=_TAG.sub("\n", _INLINE.sub(" ", text)))
     if text.startswith("commit ") and "\nAuthor:" in text.partition("\n\n")[0]:
         _, _, rest = text.partition("\n\n")
-        message, diff = [], ""
-        lines = rest.split("\n")
-        for i, line in enumerate(lines):
-            if line and not line.startswith("    "):
-                diff = "\n".join(lines[i:])
-                break
-            message.append(line[4:])
-        title, _, body = "\n".join(message).strip().partition("\n")
+        end = m.start() if (m := _OUTSIDE.search(rest)) else len(rest)
+        title, _, body = re.sub(r"^ {1,4}", "", rest[:end], flags=re.M).strip().partition("\n")
+        diff = rest[end:]
         return Parts("git", "", title.strip(), body.strip(), diff.strip())
     if text.startswith("From ") and "\nSubject:" in text.partition("\n\n")[0]:
         head, _, rest = text.partition("\n\n")
@@ -141,14 +138,14 @@ def parts_of(text: str) -> Parts:
         message, sep, diff = ("\n" + rest).partition("\n---\n")
         if not sep:
             message, diff = _split(rest)
-        return Parts("mail", "", m.group(1).strip() if m else "", message.strip(), re.sub(r"\n?--\s*$", "", diff.strip()).strip())
+        return Parts("mail", "", m.group(1).strip() if m else "", message.strip(), diff.strip().removesuffix("--").strip())
     if m := re.match(r"-{20,}\n(r\d+ \|.*|.*\|.*\|.*)\n", text):
         message, diff = _split(text[m.end() :].strip("-\n"))
         title, _, body = message.strip().partition("\n")
         return Parts("svn", "", title.strip(), body.strip(), diff.strip())
     if m := re.match(r"(\S+/\S+ / [0-9a-f]{6,40})\n", text):
-        lines = text[m.end() :].split("\n")
-        title, rest = lines[0], "\n".join(lines[2:])
+        title, _, rest = text[m.end() :].partition("\n")
+        rest = rest.partition("\n")[2]
         if s := re.search(r"^Showing \d+ changed files?$", rest, re.M):
             body, diff = rest[: s.start()], rest[s.end() :]
         else:
@@ -231,6 +228,8 @@ _PLACE = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
 
 def keys_in_a_row(word: str) -> bool:
     """Whether a word is made of runs of three keys or more that lie side by side, in either direction."""
+    if _PLACE.get(word[:1], (0,))[0] != _PLACE.get(word[1:2], (9,))[0]:  # as a rule
+        return False
     length, step = 1, 0
     for a, b in zip(word, word[1:]):
         (r, i), (q, j) = _PLACE.get(a, (-1, 0)), _PLACE.get(b, (-2, 0))
@@ -317,10 +316,8 @@ def form(line: str) -> str:
         return "ask"
     if not s or TRAILER.match(s) or not _WORD.search(s):
         return "frame"
-    parts = [[w.strip(".,;:!?()").lower() for w in x.split() if _WORD.search(w)] for x in sentences(s)]
-    if all(degenerate(w) for w in parts if w):
-        return "filler"
-    return ""
+    said = ([w.strip(".,;:!?()").lower() for w in x.split() if _WORD.search(w)] for x in sentences(s))
+    return "filler" if all(degenerate(w) for w in said if w) else ""  # as a rule the first sentence decides
 
 
 class Tally(dict):
